@@ -4,22 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, pii
+from loomspark.llm import exact_dedup, packing, pii, token_counts
 from loomspark.llm.common import table
 
+PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_packing": op6_packing,
     "op7_pii": op7_pii,
 }
 
