@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import text_or_empty
+from loomspark.llm.common import staged, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A chunk ends at the first punctuation mark after MIN_CHUNK code points, or after MAX_CHUNK of them.
@@ -43,30 +43,26 @@ def identifier(chunk: Column) -> Column:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc id, keep_id, group_size, kept, text_sha256 of every row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    cards = rows.select("id", F.xxhash64("norm").alias("fp"), F.octet_length("norm").alias("n_norm"), F.sha2("norm", 256).alias("sha"))
-    counts = cards.groupBy("fp", "n_norm").agg(F.count(F.lit(1)).alias("same_card"))
-    single = cards.join(counts.where("same_card = 1"), ["fp", "n_norm"]).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), "sha")
-
-    shared = counts.where("same_card > 1").select("fp", "n_norm")
-    texts = rows.withColumns({"fp": F.xxhash64("norm"), "n_norm": F.octet_length("norm")}).join(shared, ["fp", "n_norm"])
-    cut = texts.withColumn("chunks", chunks(F.col("norm")))
-    verified = cut.select(F.explode("chunks").alias("chunk")).select(identifier(F.col("chunk")).alias("ident"), "chunk").distinct()
+    card = [F.xxhash64("norm").alias("fp"), F.octet_length("norm").alias("n_norm")]
+    key = ["fp", "n_norm"]
+    cards = staged(rows.select("id", *card, F.sha2("norm", 256).alias("sha"), F.transform(chunks(F.col("norm")), identifier).alias("recipe")), "cards")
+    counts = cards.groupBy(*key).agg(F.count(F.lit(1)).alias("same_card"))
+    single = cards.join(counts.where("same_card = 1"), key).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("size"), "sha")
+
+    shared = counts.where("same_card > 1").select(*key)
+    again = rows.select("norm", *card).join(shared, key, "left_semi").select(F.explode(chunks(F.col("norm"))).alias("chunk"))
+    verified = again.select(identifier(F.col("chunk")).alias("ident"), "chunk").distinct()
     refused = verified.groupBy("ident").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("ident")
-    recipes = cut.select(
-        "id",
-        "fp",
-        "n_norm",
-        F.sha2("norm", 256).alias("sha"),
-        F.transform("chunks", identifier).alias("recipe"),
-    )
-    # Cards whose recipe holds a refused identifier; almost always none at all.
-    doubtful = recipes.select("fp", "n_norm", F.explode("recipe").alias("ident")).join(refused, "ident", "left_semi").select("fp", "n_norm").distinct()
-    plain = recipes.join(doubtful, ["fp", "n_norm"], "left_anti").withColumn("whole", F.lit(None).cast("string"))
-    whole = texts.join(doubtful, ["fp", "n_norm"], "left_semi").select("id", "fp", "n_norm", F.sha2("norm", 256).alias("sha"), F.array().cast("array<struct<h:bigint,n:int>>").alias("recipe"), F.col("norm").alias("whole"))
-    listed = plain.select("id", "sha", "fp", "n_norm", "recipe", F.coalesce("whole", F.lit("")).alias("whole")).unionByName(whole)
-    keys = ["fp", "n_norm", "recipe", "whole"]
-    groups = listed.groupBy(*keys).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
-    several = listed.join(groups, keys).select("id", "keep_id", "size", "sha")
+    # Cards whose recipe holds a refused identifier; as good as always none at all, and then no text is compared whole.
+    listed = cards.join(counts.where("same_card > 1"), key).select("id", "sha", *key, "recipe", F.lit("").alias("whole"))
+    doubtful = staged(listed.select(*key, F.explode("recipe").alias("ident")).join(refused, "ident", "left_semi").select(*key).distinct(), "doubtful")
+    if not doubtful.isEmpty():
+        whole = rows.select("id", "norm", *card).join(doubtful, key, "left_semi")
+        whole = whole.select("id", F.sha2("norm", 256).alias("sha"), *key, F.array().cast("array<struct<h:bigint,n:int>>").alias("recipe"), F.col("norm").alias("whole"))
+        listed = listed.join(doubtful, key, "left_anti").unionByName(whole)
+    same = [*key, "recipe", "whole"]
+    groups = listed.groupBy(*same).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("size"))
+    several = listed.join(groups, same).select("id", "keep_id", "size", "sha")
     return single.unionByName(several).select(
         F.col("id").alias(id_col),
         "keep_id",
