@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, packing, pii, repeats, token_counts
+from loomspark.llm import exact_dedup, near_join, packing, pii, repeats, token_counts
 from loomspark.llm.common import table
 
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), PIECE_MODEL)
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -38,6 +42,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_ngram_join": op4_ngram_join,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
