@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, near_join, packing, pii, repeats, token_counts
+from loomspark.llm import exact_dedup, near_join, packing, pii, quality, repeats, token_counts, toxicity
 from loomspark.llm.common import table
 
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"))
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), labels, ["toxic", "toxic_junk"])
+    return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), labels, ~quality.held_out())
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -46,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
 }
 
 ORACLES: dict[str, str] = {
