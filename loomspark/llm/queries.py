@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, near_join, packing, pii, quality, repeats, token_counts, toxicity
+from loomspark.llm import exact_dedup, media, near_join, packing, pieces, pii, quality, repeats, token_counts, toxicity
 from loomspark.llm.common import table
 
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents"))
 
@@ -51,15 +55,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_ngram_join": op4_ngram_join,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {
