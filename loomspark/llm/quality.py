@@ -208,6 +208,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, use: Column, id_col: str
     return stats.mapInArrow(score, "doc_id long, score double").withColumnRenamed("doc_id", id_col)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model alone; the texts of labelled rows become statistics where they are read."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.where(use & F.col("label").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+    train = rows.mapInArrow(_statistics, "doc_id long, stats array<float>").join(known, "doc_id")
+    return fit(staged(train.select("stats", "label", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "training"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the model scores at threshold or above, all columns as they were; no row leaves its partition."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t.as_py()) for t in batch.column(at)], np.float32).reshape(-1, STATISTICS).astype(np.float64)
+            if len(x):
+                yield batch.filter(pa.array(model.score(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels are kept for measuring."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
