@@ -1,12 +1,14 @@
 """SentencePiece token counts from pre-token frequencies, without materialising ids.
 
-No piece of the vocabulary has a space mark after another character, and the line feed is in no piece at all, so merges never
-cross the start of a run of spaces nor a line feed. A text therefore falls into pre-tokens whose piece counts add up:
+Two characters that stand next to each other in no piece of the vocabulary are never merged, so a text falls apart at every
+such place into pre-tokens whose piece counts add up (runs of letters, of punctuation, single digits, with the space mark
+before them):
 
 1. one pass turns each block of documents into a dictionary of its distinct pre-tokens and, per document, a packed vector of
    (dictionary index, frequency); this is all that is kept of the texts;
-2. the dictionaries' distinct pre-tokens are encoded once each, by the library;
-3. dictionaries join those counts, block by block, and each document's count is the dot product of its vector with them.
+2. dictionary entries are dealt by pre-token and sorted; each run of equal ones is encoded once, by the library, and the count
+   goes back to every block that asked;
+3. each block's counts meet its vectors, and a document's count is the dot product of the two.
 
 Blocks are bounded in documents and dictionary entries, so no task gathers more than one block, and a frequent pre-token has
 one row per block, however many documents hold it.
@@ -18,6 +20,7 @@ table gives an empty result; only the id and text columns are read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,13 +44,38 @@ def pre_tokens(text: str) -> list[str]:
     return PRE_TOKEN.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+def joined_pairs(model: str) -> set[tuple[str, str]]:
+    """Neighbouring characters of the vocabulary's pieces."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    ordinary = (sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k)))
+    return {pair for piece in ordinary for pair in zip(piece, piece[1:], strict=False)}
+
+
+class Splitter:
+    """Parts of a word that no merge connects."""
+
+    def __init__(self, model: str):
+        self.pairs, self.known = joined_pairs(model), {}
+
+    def __call__(self, word: str) -> list[str]:
+        if (found := self.known.get(word)) is None:
+            marked = word.replace(" ", MARK)
+            cuts = [0, *(k for k in range(1, len(marked)) if (marked[k - 1], marked[k]) not in self.pairs), len(marked)]
+            found = [marked[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            if len(self.known) < 200_000 and len(word) < 64:
+                self.known[word] = found
+        return found
+
+
 def planes(x: np.ndarray) -> bytes:
     """32-bit numbers, byte plane by byte plane: the high planes are zeros and compress away."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
 def from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 class PieceCounter:
@@ -60,10 +88,11 @@ class PieceCounter:
 
     def __call__(self, words: list[str]) -> list[int]:
         # A line feed before the word keeps the library's own leading mark away from it; both are taken off again.
-        return [len(ids) - 2 for ids in self.sp.encode(["\n" + w for w in words], num_threads=1)]
+        return [len(ids) - 2 for ids in self.sp.encode(["\n" + w.replace(MARK, " ") for w in words], num_threads=1)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    split = Splitter(model)
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     number, rows, words = 0, [], {}
 
@@ -76,7 +105,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
-            freq = Counter(pre_tokens(text))
+            freq: Counter = Counter()
+            for word, n in Counter(pre_tokens(text)).items():
+                for w in split(word):
+                    freq[w] += n
             index = np.fromiter((words.setdefault(w, len(words)) for w in freq), np.int64, len(freq))
             order = np.argsort(index)
             counts = np.fromiter(freq.values(), np.int64, len(freq))[order]
@@ -96,19 +128,25 @@ _SCHEMA = "block long, doc_id long, n_bytes long, steps binary, counts binary, b
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens of every row of docs, for the SentencePiece model file at a path every executor has."""
     spark = docs.sparkSession
-    blocks = staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks, _SCHEMA), "blocks")
-    entries = blocks.where("words IS NOT NULL").select("block", "base", F.posexplode("words").alias("pos", "word"))
+    blocks = staged(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lambda batches: _blocks(batches, model), _SCHEMA), "blocks")
+    drop_shuffles(spark)
+    entries = blocks.where("words IS NOT NULL").select("block", "base", F.posexplode("words").alias("pos", "word")).select("word", "block", (F.col("base") + F.col("pos")).alias("at"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(model)
+        """Entries come sorted; a pre-token that runs on into the next batch keeps its count."""
+        counter, last, n = PieceCounter(model), None, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                words = batch.column(0).slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([words, pa.array(counter(words.to_pylist()), pa.int64())], names=["word", "pieces"])
-
-    pieces = staged(entries.select("word").distinct().mapInArrow(count, "word string, pieces long"), "pieces")
-    drop_shuffles(spark)
-    known = entries.join(pieces, "word").select(F.col("block").alias("of"), (F.col("base") + F.col("pos")).alias("at"), "pieces")
+            runs = batch.column(0).dictionary_encode()
+            listed = runs.dictionary.to_pylist()
+            fresh = listed[1:] if listed and listed[0] == last else listed
+            counts = [n] * (len(listed) - len(fresh)) + [c for k in range(0, len(fresh), 2000) for c in counter(fresh[k : k + 2000])]
+            if listed:
+                last, n = listed[-1], counts[-1]
+            pieces = np.array(counts, np.int64)[runs.indices.to_numpy(zero_copy_only=False)] if listed else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(pieces)], names=["of", "at", "pieces"])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    known = entries.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(count, "of long, at int, pieces long")
 
     def dot(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         by_index = np.zeros(int(right["at"].max()) + 1 if len(right) else 0, np.int64)
