@@ -65,7 +65,8 @@ def classified_join(logs: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """
     left = logs.groupBy(key).agg(F.count(F.lit(1)).alias("logs"))
     right = events.groupBy(key).agg(F.count(F.lit(1)).alias("events"))
-    met = left.join(right, left[key].eqNullSafe(right[key]), "full_outer").select(F.coalesce(left[key], right[key]).alias(key), F.coalesce("logs", F.lit(0)).alias("logs"), F.coalesce("events", F.lit(0)).alias("events"))
+    sides = left.withColumn("events", F.lit(0).cast("long")).unionByName(right.withColumn("logs", F.lit(0).cast("long")))
+    met = sides.groupBy(key).agg(F.sum("logs").alias("logs"), F.sum("events").alias("events"))
     kind = F.when(F.col(key).isNull(), "unattributed").when(F.col("events") == 0, "log_only").when(F.col("logs") == 0, "event_only").when(F.col("events") > 1, "ambiguous").when(F.col("logs") > 1, "retry").otherwise("joined")
     return met.withColumn("kind", kind)
 

@@ -280,7 +280,7 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", T.spaced_terms(F.replace("s_name", F.lit("#"), F.lit(""))).alias("spaced"))
 
 
-@query("s12_identifiers", r"SELECT page_id, list_slice(list_distinct(list_filter(regexp_extract_all(url, '[A-Za-z0-9]+(?:[._\-][A-Za-z0-9]+)+'), lambda x: length(x) >= 4 AND regexp_matches(x, '[A-Za-z]'))), 1, 16)[1] AS first FROM pages")
+@query("s12_identifiers", r"SELECT page_id, list_filter(regexp_extract_all(url, '[A-Za-z0-9]+(?:[._\-][A-Za-z0-9]+)+'), lambda x: length(x) >= 4 AND regexp_matches(x, '[A-Za-z]'))[1] AS first FROM pages")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.try_element_at(T.identifiers(F.col("url")), F.lit(1)).alias("first"))
 
