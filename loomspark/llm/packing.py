@@ -30,40 +30,76 @@ from loomspark.llm.common import drop_shuffles, staged
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words whose ids a task remembers at once.
-REMEMBER = 200_000
+REMEMBER = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_ENDS = b".,;:!?"
+
+
 class WordIds:
-    """Ids of a text, word by word: this tokenizer drops white space, so no token and no normalisation crosses it."""
+    """Ids of a text, word by word: this tokenizer drops white space, so no token and no normalisation crosses it.
+
+    Words that are not known yet are encoded together, in one text, and told apart by their offsets. Punctuation after a
+    letter is a token of its own, so a word's end is looked up by itself. ASCII capitals are folded before the look-up where
+    that cannot matter: not beside combining marks, and not where a special token's text might come about.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.encode, self.known = Tokenizer.from_file(path).encode, {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 512):
+            some = words[k : k + 512]
+            text = b" ".join(some).decode()
+            lengths = [len(w.decode()) for w in some]
+            starts = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
+            found = self.encode(text, add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), np.append(starts, len(text) + 1)).tolist()
+            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
+                self.known[w] = ids[a:b].tobytes()
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        body = word.rstrip(_ENDS)
+        if len(body) < len(word) and body and body.decode()[-1].isalpha():
+            return body, word[len(body) :]
+        return (word,)
+
     def __call__(self, text: str) -> bytes:
-        known, words = self.known, text.encode("utf-8", "replace").split()
+        raw = text.encode("utf-8", "replace")
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        known, words = self.known, raw.split()
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             if len(known) > REMEMBER:
                 known.clear()
-            own = {}
-            for w in set(words):
-                if (ids := known.get(w)) is None:
-                    ids = np.asarray(self.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                    if len(w) < 64:
-                        known[w] = ids
-                own[w] = ids
-            return b"".join([own[w] for w in words])
+            fresh = {w: self._parts(w) for w in set(words) if w not in known}
+            self._learn(sorted({p for parts in fresh.values() for p in parts if p not in known}))
+            for w, parts in fresh.items():
+                known[w] = b"".join([known[p] for p in parts])
+            out = b"".join([known[w] for w in words])
+            for w in fresh:
+                if len(w) > 64:
+                    del known[w]
+            return out
+
+
+_WORD_IDS: dict[str, WordIds] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of each document: doc_id, piece, start, length, ids_crc32, and with keep_ids the ids themselves as packed 32-bit numbers."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        if tokenizer not in _WORD_IDS:  # one a worker, for all its tasks
+            _WORD_IDS[tokenizer] = WordIds(tokenizer)
+        ids_of, end = _WORD_IDS[tokenizer], np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -166,4 +202,4 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces and their places."""
-    return best_fit_pack(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), capacity)
+    return best_fit_pack(staged(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
