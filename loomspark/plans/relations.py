@@ -135,11 +135,11 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
     return relational.identity_map(relational.assert_unique(s, ["name"], "left names"), other)
 
 
-@query("c19_first_by_status", "SELECT c_custkey, f.first AS f_first, p.first AS p_first, coalesce(c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), FALSE) AS urgent FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) p ON p.o_custkey = c_custkey")
+@query("c19_first_by_status", "SELECT c_custkey, CAST(f.first AS DOUBLE) AS f_first, CAST(p.first AS DOUBLE) AS p_first, coalesce(c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'), FALSE) AS urgent FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f ON f.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) p ON p.o_custkey = c_custkey")
 def c19(spark: SparkSession, d: str) -> DataFrame:
     status = lambda s: F.min(F.when(F.col("o_orderstatus") == s, F.col("o_orderkey")))
     per = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(status("F").alias("f_first"), status("P").alias("p_first"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("u"))
-    return table(spark, d, "customer").select("c_custkey").join(per, "c_custkey", "left").select("c_custkey", "f_first", "p_first", F.coalesce("u", F.lit(False)).alias("urgent"))
+    return table(spark, d, "customer").select("c_custkey").join(per, "c_custkey", "left").select("c_custkey", F.col("f_first").cast("double").alias("f_first"), F.col("p_first").cast("double").alias("p_first"), F.coalesce("u", F.lit(False)).alias("urgent"))
 
 
 @query("d01_type_status_counts", "SELECT l_returnflag, l_linestatus, count(*) AS total, count(*) - count(CASE WHEN l_suppkey < 3 THEN 1 END) AS visible FROM lineitem GROUP BY 1, 2")

@@ -20,7 +20,8 @@ def followed(spark: SparkSession, path: str, schema: str, fmt: str = "parquet")
 
 def tumbling(events: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts and sums of value by windows of event time; rows later than `late` are left out (an addition to the reference)."""
-    stream = events.withWatermark(time, late) if events.isStreaming else events
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    stream = timed.withWatermark(time, late) if events.isStreaming else timed
     return stream.groupBy(F.window(time, size), *keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
