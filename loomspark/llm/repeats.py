@@ -39,7 +39,7 @@ GRAM = 24
 BITS = 19
 BLOCK = (1 << BITS) - LENGTH - 1
 #: Segments of one anchor string that one task sorts.
-BUCKET = 512
+BUCKET = 64
 #: Bytes that the quicksort looks at before it leaves a group to a trie.
 SHALLOW = 32
 
