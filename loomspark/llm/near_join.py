@@ -22,6 +22,7 @@ each other; rows with a null id get a null component; an empty table gives an em
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_shuffles, staged
+from loomspark.llm.common import discard, drop_shuffles, staged
 from loomspark.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-BITS = 512
+BITS = 1024
 TILE = 512
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -73,7 +74,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def signature(s: np.ndarray) -> bytes:
     bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(55)).astype(np.int64)] = 1
+    bits[(s >> np.uint64(54)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -100,7 +101,7 @@ def _scan(words: int):
                     two = [int(_mix(s * m).sum(dtype=np.uint64)) if len(s) else 0 for m in _MULT[:2]]
                 rows.append((doc_id, len(s), *(x - (1 << 64) if x >> 63 else x for x in two), None, None))
             yield _batch(rows, _CARD)
-        rows = [(None, None, None, None, k // CHUNK, table[k : k + CHUNK].tobytes()) for k in range(0, COUNTERS, CHUNK) if table[k : k + CHUNK].any()]
+        rows = [(None, None, None, None, k // CHUNK, zlib.compress(table[k : k + CHUNK].tobytes(), 1)) for k in range(0, COUNTERS, CHUNK) if table[k : k + CHUNK].any()]
         yield _batch(rows, _CARD)
 
     return scan
@@ -121,7 +122,7 @@ def _count_table(cards: DataFrame) -> np.ndarray:
         total = np.zeros(CHUNK, np.uint64)
         for batch in batches:
             for c in batch.column(1).to_pylist():
-                total += np.frombuffer(c, np.uint32)
+                total += np.frombuffer(zlib.decompress(c), np.uint32)
         yield _batch([(key[0].as_py(), np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32).tobytes())], [("chunk", pa.int32()), ("counts", pa.binary())])
 
     table = np.zeros(COUNTERS, np.uint32)
@@ -148,10 +149,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if len(s):
                     common = table[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     take = len(s) - own_overlap(len(s), percent) + 1
-                    rows.append((doc_id, s[np.lexsort((s, common))[:take]].view(np.int64), len(s)))
-            yield _batch(rows, [("rep", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int64())])
+                    rows.append((doc_id, s[np.lexsort((s, common))[:take]].view(np.int64), len(s), signature(s)))
+            yield _batch(rows, [("rep", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("bits", pa.binary())])
 
-    prefixes = texts.where("doc_id IS NOT NULL").mapInArrow(listed, "rep long, keys array<long>, n long").join(sets.select("rep"), "rep")
+    prefixes = texts.where("doc_id IS NOT NULL").mapInArrow(listed, "rep long, keys array<long>, n long, bits binary").join(sets.select("rep"), "rep")
     prefixes = staged(prefixes, "prefixes")
     drop_shuffles(spark)
     under = prefixes.select("rep", "n", F.explode("keys").alias("key"))
@@ -159,41 +160,66 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = staged(under.join(centres, "key"), "shared")
     drop_shuffles(spark)
 
-    # The shingle arrays of those that share a listed shingle with another, kept for the comparisons.
-    members = shared.select("rep").distinct()
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingles(text.as_py(), words)
-                rows.append((doc_id, len(s), s.tobytes(), signature(s)))
-            yield _batch(rows, [("rep", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("bits", pa.binary())])
-
-    kept = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", "text")
-    kept = staged(kept.mapInArrow(arrays, "rep long, n long, items binary, bits binary"), "sets")
-    drop_shuffles(spark)
-
-    fits = lambda n, m: (100 * F.least(n, m) >= percent * F.greatest(n, m))
-    star = shared.where((F.col("rep") != F.col("centre")) & fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = staged(verified(star, kept, percent), "links")
+    bits = staged(prefixes.select("rep", "n", "bits").join(shared.select("rep").distinct(), "rep"), "bits")
+    discard(prefixes)
+    fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    star = shared.where((F.col("rep") != F.col("centre")) & fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    star = staged(within_bound(star, bits, percent), "star")
+    links = staged(verified(star, arrays_of(texts, star, words), percent), "links")
     drop_shuffles(spark)
     label = connected_components(links)
 
+    # Of two under a shingle the star is the only pair; from three on the others may link without their centre.
     named = shared.select("key", "rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
     named = staged(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = pairs_in_tiles(named.join(open_keys, "key", "left_semi"), kept.select("rep", "bits"), percent)
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = staged(verified(rest, kept, percent), "links")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key")
+    rest = pairs_in_tiles(named.join(open_keys, "key", "left_semi"), bits.select("rep", "bits"), percent)
+    rest = staged(rest.join(star, ["a", "b"], "left_anti"), "rest")
     drop_shuffles(spark)
-    label = connected_components(links.unionByName(more))
+    if not rest.isEmpty():
+        more = staged(verified(rest, arrays_of(texts, rest, words), percent), "links")
+        drop_shuffles(spark)
+        label = connected_components(links.unionByName(more))
     component = sets.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     linked = cards.where("n > 0 AND doc_id IS NOT NULL").join(component, ["n", "s1", "s2"]).select("doc_id", "n", "component_id")
     alone = cards.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def arrays_of(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """rep and its sorted shingle array, for the ends of pairs (a, b)."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(doc_id, shingles(text.as_py(), words).tobytes()) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            yield _batch(rows, [("rep", pa.int64()), ("items", pa.binary())])
+
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return staged(texts.join(ends, "doc_id").select("doc_id", "text").mapInArrow(arrays, "rep long, items binary"), "sets")
+
+
+def within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures (rep, n, bits) allow the overlap."""
+    left, right = (bits.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
+                keep = pa.array(_may(n, m, x, y, percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long")
+
+
+def _may(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Each differing bit stands for an element that only one of the sets has, so the symmetric difference is at least the bits
+    that differ, and the overlap at most half of what is left of the sizes."""
+    most = (n + m - np.bitwise_count(x ^ y).sum(-1).astype(np.int64)) // 2
+    return most * (100 + percent) >= percent * (n + m)
+
+
 def _band(n: Column, percent: int) -> Column:
     """Sizes whose ratio reaches percent are in the same or in neighbouring bands."""
     return F.floor(F.log(n.cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int")
@@ -201,17 +227,18 @@ def _band(n: Column, percent: int) -> Column:
 
 def pairs_in_tiles(rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a < b) of rows (key, rep, n, label) that share a key but no label and whose signatures allow the overlap."""
-    banded = staged(rows.join(bits, "rep").withColumn("band", _band(F.col("n"), percent)), "banded")
-    width = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    banded = staged(rows.withColumn("band", _band(F.col("n"), percent)), "banded")
+    width = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("in_band"))
     here = banded.join(width, ["key", "band"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
     above = width.select("key", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
     below = width.select("key", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     placed = here.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left")
+    none = F.array().cast("array<struct<band:int,t1:int,t2:int,side:int>>")
     own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("band").alias("band"), F.least(t, F.col("tile")).alias("t1"), F.greatest(t, F.col("tile")).alias("t2"), F.lit(0).alias("side")))
     side = lambda band, tiles, low: F.when(F.col(tiles) > 0, F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda t: F.struct(band.alias("band"), (F.col("tile") if low else t).alias("t1"), (t if low else F.col("tile")).alias("t2"), F.lit(1 if low else 2).alias("side"))))
-    none = F.array().cast("array<struct<band:int,t1:int,t2:int,side:int>>")
-    cells = F.concat(own, F.coalesce(side(F.col("band"), "above", True), none), F.coalesce(side(F.col("band") - 1, "below", False), none))
-    dealt = placed.select("key", "rep", "n", "label", "bits", F.explode(cells).alias("cell")).select("key", "cell.band", "cell.t1", "cell.t2", (F.col("cell.side") > 0).alias("cross"), "cell.side", "rep", "n", "label", "bits")
+    cells = F.concat(F.when(F.col("in_band") > 1, own).otherwise(none), F.coalesce(side(F.col("band"), "above", True), none), F.coalesce(side(F.col("band") - 1, "below", False), none))
+    useful = placed.withColumn("cells", cells).where(F.size("cells") > 0).join(bits, "rep")
+    dealt = useful.select("key", "rep", "n", "label", "bits", F.explode("cells").alias("cell")).select("key", "cell.band", "cell.t1", "cell.t2", (F.col("cell.side") > 0).alias("cross"), "cell.side", "rep", "n", "label", "bits")
     keys = ["key", "cross", "band", "t1", "t2"]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
@@ -227,7 +254,6 @@ def pairs_in_tiles(rows: DataFrame, bits: DataFrame, percent: int = PERCENT) ->
             cuts = np.flatnonzero(np.r_[new, True])
             rep, n, label, side = (table.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
             sig = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            ones = np.bitwise_count(sig).sum(1).astype(np.int64)
             for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if hi - lo < 2:
                     continue
@@ -236,11 +262,7 @@ def pairs_in_tiles(rows: DataFrame, bits: DataFrame, percent: int = PERCENT) ->
                     js = js[(label[js] != label[i]) & (rep[js] != rep[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])) & ((side[js] != side[i]) | (side[i] == 0))]
                     if not len(js):
                         continue
-                    # Each differing bit stands for an element that only one of the sets has, so the symmetric difference
-                    # is at least the bits that differ, and the overlap at most what is left of the sizes.
-                    differ = np.bitwise_count(sig[js] ^ sig[i]).sum(1).astype(np.int64)
-                    most = (n[js] + n[i] - differ) // 2
-                    js = js[most * (100 + percent) >= percent * (n[js] + n[i])]
+                    js = js[_may(n[js], n[i], sig[js], sig[i], percent)]
                     if len(js):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[js], rep[i])), pa.array(np.maximum(rep[js], rep[i]))], names=["a", "b"])
 
