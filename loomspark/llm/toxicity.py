@@ -60,9 +60,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, rounds: int =
     prior = (y.sum() + 1) / (n + 2)
     w = np.zeros(d + 1, np.float32)
     w[-1] = np.log(prior / (1 - prior))
+    if not 0 < y.sum() < n:
+        return w
     step = np.float32(1.0 / (0.25 * (float((x * x).sum(1).mean()) + 1) + penalty))
     v, t = w.copy(), 1.0
-    for _ in range(rounds if 0 < y.sum() < n else 0):
+    for _ in range(rounds):
         miss = (1 / (1 + np.exp(-(x @ v[:-1] + v[-1]))) - y).astype(np.float32)
         grad = np.append(x.T @ miss / n + penalty / n * v[:-1], miss.mean()).astype(np.float32)
         fresh = v - step * 4 * grad
