@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_shuffles, staged
+from loomspark.llm.common import discard, drop_shuffles, staged
 
 LENGTH = 100
 GRAM = 24
@@ -39,7 +39,7 @@ GRAM = 24
 BITS = 19
 BLOCK = (1 << BITS) - LENGTH - 1
 #: Segments of one anchor string that one task sorts.
-BUCKET = 64
+BUCKET = 128
 #: Bytes that the quicksort looks at before it leaves a group to a trie.
 SHALLOW = 32
 
@@ -247,11 +247,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grams = staged(scan.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("contested")), "grams")
     drop_shuffles(spark)
     shared = staged(scan.join(grams, "gram"), "segments")
+    discard(grams)
     drop_shuffles(spark)
     firsts = staged(shared.groupBy("gram", "whole").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"), F.first("contested").alias("contested"), F.count(F.lit(1)).alias("n")), "firsts")
     several = firsts.where("n > 1").select("gram", "whole", "at")
     copies = shared.join(several, ["gram", "whole"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
-    copies = copies.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("stop"))
+    copies = staged(copies.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("stop")), "copies")
+    discard(shared)
+    drop_shuffles(spark)
 
     contested = firsts.where("contested")
     salts = contested.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("salts"))
@@ -274,6 +277,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = strings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
     found = staged(dealt.mapInArrow(_sorted_windows, "doc_id long, start int, stop int, h1 long, h2 long"), "windows")
+    discard(firsts)
     drop_shuffles(spark)
     local = found.where("stop IS NOT NULL").select("doc_id", "start", "stop")
     heads = found.where("stop IS NULL")
