@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Parser names by file extension.
 PARSERS = {"pdf": "pdf", "md": "markdown", "markdown": "markdown", "zip": "bundle", "docx": "docx", "pptx": "pptx", "csv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "xls": "xls"}
@@ -49,9 +50,15 @@ def tail(df: DataFrame, seq: str, n: int, since: int | None = None, before: int
     return df.orderBy(F.desc(seq)).limit(n)
 
 
+@F.pandas_udf(StringType())
+def _gbk(s: pd.Series) -> pd.Series:
+    """A charset the JVM functions refuse."""
+    return s.map(lambda b: bytes(b).decode("gbk", "replace"), na_action="ignore")
+
+
 def decoded_text(content: Column) -> Column:
     """UTF-8 with or without a mark, else GBK."""
-    return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "GBK")), r"^\x{FEFF}", "")
+    return F.regexp_replace(F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(_gbk(content)), r"^\x{FEFF}", "")
 
 
 def csv_grid(spark: SparkSession, path: str) -> DataFrame:

@@ -31,22 +31,18 @@ def sessions(events: DataFrame, time: str, gap: str, key: str) -> DataFrame:
 
 
 def ring(stream: DataFrame, key: str, ident: str, time: str, keep: int) -> DataFrame:
-    """The ids of a key's newest `keep` rows whenever they change; state is bounded by keep, and keys idle for 30 days go."""
+    """The ids of a key's newest `keep` rows whenever they change; a key's state is bounded by keep."""
 
     def push(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held: list[Any] = list(zip(*state.get, strict=True)) if state.exists else []
         for df in batches:
             held += zip(df[ident].tolist(), (df[time].astype("int64") // 1000).tolist(), strict=True)
         held = sorted(set(held), key=lambda x: (-x[1], -x[0]))[:keep]
         state.update(([a for a, _ in held], [b for _, b in held]))
-        state.setTimeoutDuration(30 * 86_400_000)
         yield pd.DataFrame({key: [k[0]], "ids": [[a for a, _ in held]]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(push, f"{key} {kind}, ids array<long>", "ids array<long>, at array<long>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(push, f"{key} {kind}, ids array<long>", "ids array<long>, at array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def upsert_into(stream: DataFrame, path: str, key: list[str], seq: str, checkpoint: str) -> Any:

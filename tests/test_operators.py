@@ -185,7 +185,7 @@ def test_stream_ring(spark, tmp_path):
     spark.createDataFrame(rows, "u long, id long, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
     stream = changes.followed(spark, str(tmp_path / "in"), "u long, id long, ts timestamp")
     q = changes.ring(stream, "u", "id", "ts", 3).writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     assert spark.table("ring").collect()[-1].ids == [5, 4, 3]
 
 
