@@ -69,25 +69,31 @@ class WordIds:
             return body, word[len(body) :]
         return (word,)
 
-    def __call__(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "replace")
-        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-            raw = raw.lower()
-        known, words = self.known, raw.split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            fresh = {w: self._parts(w) for w in set(words) if w not in known}
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text; what is new in all of them is learned at once."""
+        listed = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "replace")
+            if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+                raw = raw.lower()
+            listed.append(raw.split())
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
+        fresh = {w: self._parts(w) for w in set().union(*listed).difference(known)}
+        if fresh:
             self._learn(sorted({p for parts in fresh.values() for p in parts if p not in known}))
             for w, parts in fresh.items():
-                known[w] = b"".join([known[p] for p in parts])
-            out = b"".join([known[w] for w in words])
-            for w in fresh:
-                if len(w) > 64:
-                    del known[w]
-            return out
+                if len(parts) > 1:
+                    known[w] = known[parts[0]] + known[parts[1]]
+        out = [b"".join([known[w] for w in words]) for words in listed]
+        for w in fresh:
+            if len(w) > 64:
+                del known[w]
+        return out
+
+    def __call__(self, text: str | None) -> bytes:
+        return self.many([text])[0]
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -102,11 +108,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
         ids_of, end = _WORD_IDS[tokenizer], np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + end
-                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
+            for first in range(0, batch.num_rows, 100):
+                some = batch.slice(first, 100)
+                for doc_id, found in zip(some.column(0).to_pylist(), ids_of.many(some.column(1).to_pylist()), strict=True):
+                    ids = found + end
+                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
             if rows:
