@@ -283,7 +283,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = found.where("stop IS NULL")
     least = heads.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "at")
     across = heads.join(least, ["h1", "h2"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
-    return copies.unionByName(local).unionByName(across)
+    spans = staged(copies.unionByName(local).unionByName(across), "spans")
+    discard(copies, found)
+    drop_shuffles(spark)
+    return spans
 
 
 def _strip(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -304,7 +307,8 @@ def _strip(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with keep_bytes the remaining bytes."""
     spans = repeated_spans(docs, id_col, text_col)
-    by_doc = staged(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    by_doc = staged(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans-by-doc")
+    discard(spans)
     drop_shuffles(docs.sparkSession)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
