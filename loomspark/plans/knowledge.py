@@ -61,10 +61,10 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r06_bm25", rf"""WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
     dl AS (SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS dl FROM documents), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-    q AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark WHERE item_id < 3), s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), c GROUP BY 1, 2)
+    q AS (SELECT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark), s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id), c GROUP BY 1, 2)
     SELECT query_id, doc_id, round(score, 3) AS score FROM s""")
 def r06(spark: SparkSession, d: str) -> DataFrame:
-    asked = table(spark, d, "benchmark").where("item_id < 3").select(F.col("item_id").alias("query_id"), "text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), asked).withColumn("score", F.round("score", 3))
 
 
@@ -165,9 +165,9 @@ def _rounds(n: int) -> str:
     return ", ".join(out)
 
 
-@query("k02_personalized_rank", shapes.with_("relations") + ", one AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(weight, id) AS weight FROM relations WHERE src <> dst AND source_id < 20 GROUP BY 1, 2), e AS (SELECT lo AS u, hi AS v, weight FROM one UNION ALL SELECT hi, lo, weight FROM one), shares AS (SELECT u, v, weight / sum(weight) OVER (PARTITION BY u) AS share FROM e), reset AS (SELECT p_partkey AS id, 1.0 / count(*) OVER () AS r FROM part WHERE p_partkey < 5), s0 AS (SELECT id, r AS score FROM reset), " + _rounds(4) + " SELECT id, round(score, 6) AS score FROM s4")
+@query("k02_personalized_rank", shapes.with_("relations") + ", one AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(weight, id) AS weight FROM relations WHERE src <> dst GROUP BY 1, 2), e AS (SELECT lo AS u, hi AS v, weight FROM one UNION ALL SELECT hi, lo, weight FROM one), shares AS (SELECT u, v, weight / sum(weight) OVER (PARTITION BY u) AS share FROM e), reset AS (SELECT p_partkey AS id, 1.0 / count(*) OVER () AS r FROM part WHERE p_partkey < 5), s0 AS (SELECT id, r AS score FROM reset), " + _rounds(4) + " SELECT id, round(score, 6) AS score FROM s4")
 def k02(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.ranking_graph(shapes.relations(spark, d).where("source_id < 20"))
+    edges = graph.ranking_graph(shapes.relations(spark, d))
     seeds = shapes.nodes(spark, d).where("id < 5").select("id", F.lit(1.0).alias("weight"))
     return graph.personalized_rank(edges, seeds, rounds=4).withColumn("score", F.round("score", 6))
 
@@ -207,7 +207,7 @@ def k11(spark: SparkSession, d: str) -> DataFrame:
     pairs = entities.shared_elements(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("element_id"), F.col("l_partkey").alias("id")))
     both = pairs.select("source_id", F.col("a").alias("id"), F.col("b").alias("other"), "overlap").unionByName(pairs.select("source_id", F.col("b").alias("id"), F.col("a").alias("other"), "overlap"))
     n = shapes.nodes(spark, d).select(F.col("id").alias("other"), (F.col("object_type") == "concept").alias("is_concept"), F.length("name").alias("name_length"))
-    isolated = both.where("id % 5 = 0").select("source_id", "id").distinct()
+    isolated = both.select("source_id", "id").distinct()
     return entities.relinked(isolated, both.join(n, "other").select("source_id", "id", "other", "overlap", "is_concept", "name_length"))
 
 
@@ -224,7 +224,7 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k15_communities")
 def k15(spark: SparkSession, d: str) -> DataFrame:
-    return graph.communities(graph.ranking_graph(shapes.relations(spark, d).where("source_id < 10")), rounds=6)
+    return graph.communities(graph.ranking_graph(shapes.relations(spark, d)), rounds=6)
 
 
 @query("k19_symmetric_ends", shapes.with_("relations") + "SELECT id, CASE WHEN edge_type = 'contrasts_with' AND dst < src THEN dst ELSE src END AS a, CASE WHEN edge_type = 'contrasts_with' AND dst < src THEN src ELSE dst END AS b FROM relations")
@@ -269,9 +269,9 @@ def y08(spark: SparkSession, d: str) -> DataFrame:
     return relational.latest(sides, ["id"], F.desc("together"), F.col("peer"), keep=8)
 
 
-@query("y09_conflicts", shapes.with_("relations") + ", r AS (SELECT id, src, edge_type, dst FROM relations WHERE source_id < 4 AND status = 'verified') SELECT 'shared_pair_diff_edge' AS kind, x.id AS id1, y.id AS id2 FROM r x JOIN r y ON x.src = y.src AND x.dst = y.dst AND x.edge_type <> y.edge_type AND x.id < y.id UNION ALL SELECT 'shared_head', x.id, y.id FROM r x JOIN r y ON x.src = y.src AND x.edge_type = y.edge_type AND x.dst <> y.dst AND x.id < y.id UNION ALL SELECT 'shared_tail', x.id, y.id FROM r x JOIN r y ON x.dst = y.dst AND x.edge_type = y.edge_type AND x.src <> y.src AND x.id < y.id")
+@query("y09_conflicts", shapes.with_("relations") + ", r AS (SELECT id, src, edge_type, dst FROM relations) SELECT 'shared_pair_diff_edge' AS kind, x.id AS id1, y.id AS id2 FROM r x JOIN r y ON x.src = y.src AND x.dst = y.dst AND x.edge_type <> y.edge_type AND x.id < y.id UNION ALL SELECT 'shared_head', x.id, y.id FROM r x JOIN r y ON x.src = y.src AND x.edge_type = y.edge_type AND x.dst <> y.dst AND x.id < y.id UNION ALL SELECT 'shared_tail', x.id, y.id FROM r x JOIN r y ON x.dst = y.dst AND x.edge_type = y.edge_type AND x.src <> y.src AND x.id < y.id")
 def y09(spark: SparkSession, d: str) -> DataFrame:
-    return entities.structural_conflicts(shapes.relations(spark, d).where("source_id < 4 AND status = 'verified'"))
+    return entities.structural_conflicts(shapes.relations(spark, d))
 
 
 @query("y10_contrasts", "SELECT DISTINCT x.p_name AS a_name, y.p_name AS b_name FROM part x JOIN part y ON split_part(x.p_name, ' ', 2) = split_part(y.p_name, ' ', 2) AND x.p_partkey < y.p_partkey AND ((split_part(x.p_name, ' ', 1) = 'red' AND split_part(y.p_name, ' ', 1) = 'blue') OR (split_part(x.p_name, ' ', 1) = 'blue' AND split_part(y.p_name, ' ', 1) = 'red'))")
@@ -312,24 +312,24 @@ def y16(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(n.alias("known"), F.least(n, F.lit(1250)).alias("returned"), F.when(n > 1250, "row_cap").otherwise("complete").alias("reason"))
 
 
-@query("y18_isolated_penalty", shapes.with_("nodes", "relations") + ", g AS (SELECT DISTINCT src AS id FROM relations WHERE source_id < 30 UNION SELECT DISTINCT dst FROM relations WHERE source_id < 30) SELECT n.id, round((n.id * 7919 % 1000) / 1000.0 * CASE WHEN g.id IS NULL THEN 0.8 ELSE 1.0 END, 6) AS score FROM nodes n LEFT JOIN g ON g.id = n.id")
+@query("y18_isolated_penalty", shapes.with_("nodes", "relations") + ", g AS (SELECT DISTINCT src AS id FROM relations UNION SELECT DISTINCT dst FROM relations) SELECT n.id, round((n.id * 7919 % 1000) / 1000.0 * CASE WHEN g.id IS NULL THEN 0.8 ELSE 1.0 END, 6) AS score FROM nodes n LEFT JOIN g ON g.id = n.id")
 def y18(spark: SparkSession, d: str) -> DataFrame:
-    deg = graph.degrees(shapes.relations(spark, d).where("source_id < 30"))
+    deg = graph.degrees(shapes.relations(spark, d))
     return shapes.nodes(spark, d).join(deg, "id", "left").select("id", F.round((F.col("id") * 7919 % 1000) / 1000.0 * F.when(F.col("degree").isNull(), 0.8).otherwise(1.0), 6).alias("score"))
 
 
-@query("y19_lane_interleave", "WITH l AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events WHERE event_type IN ('view', 'error') AND event_id < 200) SELECT event_id, turn FROM l ORDER BY turn, event_type = 'error' DESC")
+@query("y19_lane_interleave", "WITH l AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events WHERE event_type IN ('view', 'error')) SELECT event_id, turn FROM l ORDER BY turn, event_type = 'error' DESC")
 def y19(spark: SparkSession, d: str) -> DataFrame:
-    lanes = table(spark, d, "events").where("event_type IN ('view', 'error') AND event_id < 200")
+    lanes = table(spark, d, "events").where("event_type IN ('view', 'error')")
     return relational.round_robin(lanes, "event_type", ["event_id"], [F.desc(F.col("event_type") == "error")]).select("event_id", "turn")
 
 
-_RUN = "SELECT user_id AS query_id, event_id AS id, value AS score FROM events WHERE user_id < 40"
+_RUN = "SELECT user_id AS query_id, event_id AS id, value AS score FROM events"
 
 
-@query("v01_recall_mrr_ndcg", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_RUN})), g AS (SELECT user_id AS query_id, event_id AS id FROM events WHERE user_id < 40 AND event_type = 'purchase'), h AS (SELECT query_id, count(CASE WHEN rank <= 10 THEN 1 END) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM r JOIN g USING (query_id, id) GROUP BY 1), w AS (SELECT query_id, count(*) AS want FROM g GROUP BY 1) SELECT query_id, round(coalesce(found * 1.0 / want, 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= want), 0), 6) AS ndcg FROM w LEFT JOIN h USING (query_id)")
+@query("v01_recall_mrr_ndcg", f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_RUN})), g AS (SELECT user_id AS query_id, event_id AS id FROM events WHERE event_type = 'purchase'), h AS (SELECT query_id, count(CASE WHEN rank <= 10 THEN 1 END) AS found, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM r JOIN g USING (query_id, id) GROUP BY 1), w AS (SELECT query_id, count(*) AS want FROM g GROUP BY 1) SELECT query_id, round(coalesce(found * 1.0 / want, 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS rr, round(coalesce(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 11) t(i) WHERE i <= want), 0), 6) AS ndcg FROM w LEFT JOIN h USING (query_id)")
 def v01(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"), "event_type")
+    ev = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"), "event_type")
     return evaluation.retrieval_measures(ev.drop("event_type"), ev.where("event_type = 'purchase'").select("query_id", "id"), 10)
 
 
@@ -360,9 +360,9 @@ def v08(spark: SparkSession, d: str) -> DataFrame:
     return shapes.relations(spark, d).groupBy("tier").agg((n / F.countDistinct("src") >= 1.5).alias("dense"), F.round(F.count_if(F.col("edge_type") == "composed_of") / n, 6).alias("compound"))
 
 
-@query("v09_replay", "SELECT user_id AS query_id, user_id % 4 <> 0 AS same FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40)")
+@query("v09_replay", "SELECT user_id AS query_id, user_id % 4 <> 0 AS same FROM (SELECT DISTINCT user_id FROM events)")
 def v09(spark: SparkSession, d: str) -> DataFrame:
-    run = table(spark, d, "events").where("user_id < 40").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"))
+    run = table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"))
     return evaluation.replayed(run, run.withColumn("score", F.when(F.col("query_id") % 4 == 0, F.col("score") + 1).otherwise(F.col("score"))))
 
 
@@ -394,10 +394,10 @@ def x06(spark: SparkSession, d: str) -> DataFrame:
     return relational.missing(c.select("conv_id").distinct(), c.where("role = 'system'").select("conv_id"), ["conv_id"])
 
 
-@query("x08_attestation", "SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS state FROM documents")
+@query("x08_attestation", "SELECT doc_id AS id, CASE WHEN lang = 'es' THEN 'gone' WHEN lang = 'fr' THEN 'changed' ELSE 'same' END AS state FROM documents")
 def x08(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    live = docs.where("id % 11 <> 0").withColumn("text", F.when(F.col("id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    live = docs.where("lang <> 'es'").withColumn("text", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return entities.attested(docs.select("id", F.sha2("text", 256).alias("fingerprint")), live)
 
 
@@ -429,11 +429,11 @@ def x18(spark: SparkSession, d: str) -> DataFrame:
     return chunking.without_page_edges(pages.select("doc_id", "page", "pos", "text")).select("doc_id", "page", "pos")
 
 
-@query("w01_change_feed", "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS op FROM (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0) a FULL OUTER JOIN (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 9 <> 0) b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus")
+@query("w01_change_feed", "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'insert' WHEN b.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS op FROM (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P') a FULL OUTER JOIN (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW') b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus")
 def w01(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    after = o.where("o_orderkey % 9 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return relational.change_feed(o.where("o_orderkey % 10 <> 0"), after, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "op")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    after = o.where("o_orderpriority <> '5-LOW'").withColumn("o_orderstatus", F.when(F.col("o_orderpriority") == "1-URGENT", "X").otherwise(F.col("o_orderstatus")))
+    return relational.change_feed(o.where("o_orderstatus <> 'P'"), after, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "op")
 
 
 @query("w03_retention", "SELECT event_id FROM events WHERE event_id >= 300 OR ts >= TIMESTAMP '2024-01-25'")
