@@ -60,6 +60,7 @@ class Scanner:
         self.cores: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.paths: dict[str, list[tuple[int, int]]] = {}
 
     def core(self, s: str) -> tuple[int, ...]:
         """The library's ids of a part of a marked text, without its own leading mark."""
@@ -148,7 +149,12 @@ class Scanner:
         out = self.between(s, at, first, before)
         where = first
         for p in [*(q for q in range(first + 1, last) if is_seam(s, q)), *([last] if last > first else [])]:
-            out += self.between(s, where, p)
+            word = s[where:p]
+            if (path := self.paths.get(word)) is None:
+                if len(self.paths) > REMEMBER:
+                    self.paths.clear()
+                path = self.paths[word] = self.between(word, 0, len(word))
+            out += [(where + i, where + j) for i, j in path]
             where = p
         return out + self.trace(s, None, last, stop)
 
