@@ -1,8 +1,15 @@
 """Personal data spans, in DataFrame functions only.
 
-Regular expressions propose spans; validators (part ranges, digit counts, Luhn, mod 97) confirm them; words in the text just
-before a span adjust its score. Four base kinds (email, ip, card, phone) are kept on validation alone. Two more kinds are
-proposed: iban (mod 97) and ssn, which has no checksum and so needs a context word to reach the threshold.
+Regular expressions propose spans; validators (part ranges, digit counts, Luhn, mod 97) confirm them; words in the 40
+characters before or after a span adjust its score. Four base kinds (email, ip, card, phone) are kept on validation alone. Two
+more kinds are proposed: iban (mod 97) and ssn, which has no checksum and so needs a context word to reach the threshold.
+
+Members of a list share their context, however long the list: what stood before the last member holds for the next one, unless
+more than 40 characters or a new clause with words of its own ('ssn 1...; id 2...') come between. Words after a span, or after
+the list it stands in (as far as 60 characters on), count within its clause, unless a number follows, whose label they are.
+
+An iban is proposed by its first four characters only, so that what follows it can not be taken into it: its end is the one at
+its country's length if mod 97 holds there, else the last end of a token where it holds.
 
 Positions come without any row-at-a-time code: split() and regexp_extract_all() walk the same leftmost non-overlapping
 matches, so the lengths of the pieces between matches and of the matches themselves add up to code-point offsets.
@@ -13,6 +20,7 @@ result and an empty table gives an empty one; only the id and text columns are r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +35,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -35,11 +43,41 @@ KINDS = tuple(PATTERNS)
 #: A text without this cannot hold a span of the kind.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 40, 0.25, 0.5
+#: Characters after a match that can matter: the rest of an iban with a space before each character, a list, the context after it.
+AHEAD_CHARS = 60 + 60 + CONTEXT_CHARS
+#: What may stand between two members of a list, and between a span and words after it; {0} are the words.
+LIST_GAP = r"^(?:\P{L}{0,40}|[^.;:!?\n]{0,40})$"
+WORDS_AFTER = r"^(?:[^\p{{L}}.;:!?\n]|\b(?:and|or)\b){{0,60}}+[^.;:!?\n0-9]{{0,40}}?(?:{0})(?!\w*\W{{0,5}}[0-9])"
+#: Lengths of ISO 13616, by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO",
+        16: "BE",
+        18: "DK FI FK FO GL NL SD",
+        19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST",
+        26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA",
+        30: "JO KW MU YE",
+        31: "MT SC",
+        32: "LC",
+        33: "RU",
+    }.items()
+    for c in countries.split()
+}
 
 
 @dataclass(frozen=True)
 class Weight:
-    """score of a validated span, and the words that raise it when they stand just before it"""
+    """score of a validated span, and the words that raise it when they stand near it"""
 
     score: float
     words: str
@@ -81,11 +119,28 @@ def _valid(kind: str, m: Column) -> Column:
         return F.length(_digits(m)).between(16, 19) & luhn(m)
     if kind == "phone":
         return F.length(_digits(m)).between(8, 15)
-    if kind == "iban":
-        return F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34) & mod97(m)
     return F.lit(True)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _iban_rest(head: Column, ahead: Column) -> Column:
+    """How many of the characters ahead belong to the account number that begins with head; null if there is none."""
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+
+    def ends(run: Column) -> Column:
+        at_end = lambda n: (F.substr(run, n, F.lit(1)) != " ") & ~F.substr(ahead, n + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+        flat = lambda n: F.length(F.regexp_replace(F.left(run, n), r"\x20", "")) + 4
+        holds = F.filter(F.sequence(F.lit(11), F.length(run)), lambda n: at_end(n) & (flat(n) >= 15) & mod97(F.concat(head, F.left(run, n))))
+        at_length = lambda ok: F.array_max(F.filter(ok, lambda n: flat(n) == F.try_element_at(lengths, F.left(head, F.lit(2)))))
+        return _let(holds, lambda ok: F.coalesce(at_length(ok), F.array_max(ok)))
+
+    return _let(F.regexp_extract(ahead, r"^(?:\x20?[A-Z0-9]){11,30}", 0), lambda run: F.when(run != "", ends(run)))
+
+
 SPAN = "array<struct<kind:string,s:int,e:int,score:double>>"
 
 
@@ -94,18 +149,40 @@ def spans_of(kind: str, text: Column) -> Column:
     pattern, weight = PATTERNS[kind], WEIGHTS[kind]
     walked = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
-    def step(acc: Column, x: Column) -> Column:
+    def ahead(walk: Column, at: Column) -> Column:
+        """The text after match number `at`; a match and the gap before it have three characters at least, or the gap is the first."""
+        parts = F.transform(F.slice(walk, at + 1, AHEAD_CHARS // 3 + 2), lambda x: F.concat(F.left(x["gap"], F.lit(AHEAD_CHARS)), F.coalesce(F.left(x["m"], F.lit(AHEAD_CHARS)), F.lit(""))))
+        return F.left(F.array_join(parts, ""), F.lit(AHEAD_CHARS))
+
+    def step(walk: Column, acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        near = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS))).rlike(weight.words)
-        score = F.round(F.lit(weight.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0), 2)
-        keep = _valid(kind, x["m"]) & (F.lit(True) if kind in BASE else score >= THRESHOLD)
-        found = F.struct(F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), score.alias("score"))
-        moved = F.struct(end.alias("at"), F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).cast(SPAN).alias("found"))
-        return F.when(x["m"].isNull(), acc).otherwise(moved)
+        stop = start + F.length(x["m"])
+        before = F.lower(F.right(x["gap"], F.lit(CONTEXT_CHARS))).rlike(weight.words) | (acc["near"] & x["gap"].rlike(LIST_GAP))
+
+        def judged(after: Column) -> Column:
+            rest = _iban_rest(x["m"], after) if kind == "iban" else F.lit(0)
+            near = lambda n: before | F.lower(F.substr(after, n + 1)).rlike(WORDS_AFTER.format(weight.words))
+            return _let(rest, lambda n: F.when(n.isNotNull(), F.struct((stop + n).alias("e"), near(n).alias("near"))))
+
+        valid = (start >= acc["e"]) & _valid(kind, x["m"])
+
+        def moved(v: Column) -> Column:
+            score = F.round(F.lit(weight.score) + F.when(v["near"], CONTEXT_BONUS).otherwise(0.0), 2)
+            keep = v.isNotNull() & (F.lit(True) if kind in BASE else score >= THRESHOLD)
+            found = F.struct(F.lit(kind).alias("kind"), start.alias("s"), v["e"].alias("e"), score.alias("score"))
+            return F.struct(
+                (acc["n"] + 1).alias("n"),
+                stop.alias("at"),
+                F.greatest(acc["e"], v["e"]).alias("e"),
+                F.coalesce(v["near"], before).alias("near"),
+                F.when(keep, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).cast(SPAN).alias("found"),
+            )
+
+        return F.when(x["m"].isNull(), acc).otherwise(_let(F.when(valid, _let(ahead(walk, acc["n"] + 1), judged)), moved))
 
     none = F.array().cast(SPAN)
-    all_spans = F.aggregate(walked, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("e"), F.lit(False).alias("near"), none.alias("found"))
+    all_spans = _let(walked, lambda walk: F.aggregate(walk, zero, lambda acc, x: step(walk, acc, x), lambda acc: acc["found"]))
     may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(may, all_spans).otherwise(none)
 

@@ -266,6 +266,30 @@ def test_pii(spark, docs, none):
     assert clean[10] == "mail me: <EMAIL> or <PHONE>, card <CARD> at <IP>"
 
 
+PII_FOUND = [
+    ("SSN: " + ", ".join(f"{123 + k}-45-{6789 + k}" for k in range(12)) + ".", ["ssn"] * 12),
+    ("ssn 123-45-6789 and also 234-56-7890; id 345-67-8901", ["ssn"] * 2),
+    ("123-45-6789 or 234-56-7890 is my social security number", ["ssn"] * 2),
+    ("id 123-45-6789, ssn 234-56-7890", ["ssn"]),
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF.", ["DE89 3704 0044 0532 0130 00"]),
+    ("AB12 CD DE89370400440532013000 GB82 WEST 1234 5698 7654 32 AND 7", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]),
+    ("é😀 DE89 3704 0044 0532 0130 01 FR14 2004 1010 0505 0001 3M02 606", ["FR14 2004 1010 0505 0001 3M02 606"]),
+    ("the ssn form of 2020: 123 45 6789", []),
+]
+
+
+def test_pii_added_kinds(spark):
+    """Lists share a context word on either side; an iban ends where it does, not where its line of capitals does."""
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(PII_FOUND)], "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.pii_report(docs).collect()}
+    for k, (t, want) in enumerate(PII_FOUND):
+        got = [(kind, t[int(s) : int(e)]) for kind, s, e in spans[k] if kind in ("iban", "ssn")]
+        assert [m if kind == "iban" else kind for kind, m in got] == want, t
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "SSN: " + ", ".join(["<SSN>"] * 12) + "."
+    assert clean[4] == "IBAN <IBAN> BIC COBADEFF."
+
+
 def test_jpeg_round_trip():
     rng = np.random.default_rng(3)
     for n in (1, 5, 6, 13):
