@@ -49,6 +49,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers that every executor can hold, and so may be broadcast: 2 million take some 100 MB at most.
+SMALL_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A staged table, marked for broadcast if its rows are counted to be few; beyond that a join shuffles as usual."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Lets the driver's JVM notice finished shuffles, so that their files go before the next stage writes its own."""
     spark.sparkContext._jvm.System.gc()

@@ -5,19 +5,22 @@ Exact, in layers that each leave less to the next:
 1. documents with equal shingle sets fold into one representative (a link of similarity one);
 2. a representative is listed under the rarest of its shingles only - so many that two sets above the threshold must share
    one of them. Rarity comes from one count table of fixed size (COUNTERS numbers, so it can be broadcast at any scale), which
-   puts passages that a large part of the corpus shares last in every list;
+   puts passages that a large part of the corpus shares last in every list. A pair is decided where its first common shingle
+   is; what stands before it in either list is not shared, so a pair whose places leave too little is passed over;
 3. representatives listed under one shingle are first compared with the least of them (a star, never all pairs); what is
    linked needs no second look inside its component;
-4. pairs of different components that still share a shingle meet in size-banded tiles: members of a size band are hashed into
-   tiles of about TILE members, and only tiles of the same or the next band meet. Hashed bitmap signatures bound the overlap
-   from above by bit counts before a pair is let through;
+4. of shingles with the same members the first is kept. Pairs of different components that still share a shingle meet in
+   size-banded tiles: members of a size band are hashed into tiles of about TILE members, and only tiles of the same or the
+   next band meet. Hashed bitmap signatures, eight bits an element up to MAX_BITS, bound the overlap from above by bit counts
+   before a pair is let through;
 5. pairs that pass are decided on the sorted shingle arrays themselves.
 
 A shingle is known by a 64-bit hash of its words. Sizes and overlaps are whole numbers, so the threshold is exact.
 
 Edge cases: null and empty texts, and texts of white space, have an empty set and link with nothing, not even with each other;
 texts with fewer words than a shingle have one shingle, the whole sequence; texts are read whole; repeated rows are copies of
-each other; rows with a null id get a null component; an empty table gives an empty result; other columns are ignored.
+each other; rows with a null id get a null component; an empty table gives an empty result; other columns are ignored. An id
+should name one text: rows that repeat it with another text keep their own n_shingles, and a link of either may join both.
 """
 
 from __future__ import annotations
@@ -31,12 +34,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import discard, drop_shuffles, staged
+from loomspark.llm.common import discard, drop_shuffles, small, staged
 from loomspark.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 COUNTERS, CHUNK = 1 << 20, 1 << 14
-BITS = 1024
+MIN_BITS, MAX_BITS = 256, 4096
 TILE = 512
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -73,11 +76,23 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(54)).astype(np.int64)] = 1
+    """A bitmap of hashed elements; its width, a power of two, grows with the set. Both halves of a bitmap laid over each other
+    are the bitmap of half the width."""
+    width = min(max(1 << (8 * len(s) - 1).bit_length(), MIN_BITS), MAX_BITS)
+    bits = np.zeros(width, np.uint8)
+    bits[((s >> np.uint64(40)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """Signatures as rows of 64-bit words, all of the least width among them."""
+    sizes = {len(b) for b in signatures}
+    if len(sizes) == 1:
+        return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+    words = min(sizes) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, words), 0) for b in signatures])
+
+
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     """Smallest intersection i of sets of n and m with 100 i >= percent (n + m - i)."""
     return -(-percent * (n + m) // (100 + percent))
@@ -115,6 +130,11 @@ def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _pairs(ends: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate(ends, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _count_table(cards: DataFrame) -> np.ndarray:
     """Occurrences of shingles by the low bits of their hash; COUNTERS numbers whatever the input."""
 
@@ -150,32 +170,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     common = table[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                     take = len(s) - own_overlap(len(s), percent) + 1
                     rows.append((doc_id, s[np.lexsort((s, common))[:take]].view(np.int64), len(s), signature(s)))
-            yield _batch(rows, [("rep", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int64()), ("bits", pa.binary())])
+            yield _batch(rows, [("rep", pa.int64()), ("keys", pa.list_(pa.int64())), ("n", pa.int32()), ("bits", pa.binary())])
 
-    prefixes = texts.where("doc_id IS NOT NULL").mapInArrow(listed, "rep long, keys array<long>, n long, bits binary").join(sets.select("rep"), "rep")
+    prefixes = texts.where("doc_id IS NOT NULL").mapInArrow(listed, "rep long, keys array<long>, n int, bits binary").join(sets.select("rep"), "rep")
     prefixes = staged(prefixes, "prefixes")
     drop_shuffles(spark)
-    under = prefixes.select("rep", "n", F.explode("keys").alias("key"))
-    centres = under.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("top")).where("c.rep <> top").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"))
-    shared = staged(under.join(centres, "key"), "shared")
+    under = prefixes.select("rep", "n", F.posexplode("keys").alias("pos", "key"))
+    centres = under.groupBy("key").agg(F.min(F.struct("rep", "n", "pos")).alias("c"), F.max("rep").alias("top")).where("c.rep <> top").select("key", "c")
+    shared = staged(under.join(centres, "key").select("key", "rep", "n", "pos", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.pos").alias("centre_pos")), "shared")
     drop_shuffles(spark)
 
     bits = staged(prefixes.select("rep", "n", "bits").join(shared.select("rep").distinct(), "rep"), "bits")
     discard(prefixes)
-    fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-    star = shared.where((F.col("rep") != F.col("centre")) & fits).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    star = shared.where((F.col("rep") != F.col("centre")) & _fits("n", "pos", "centre_n", "centre_pos", percent)).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     star = staged(within_bound(star, bits, percent), "star")
     links = staged(verified(star, arrays_of(texts, star, words), percent), "links")
     drop_shuffles(spark)
     label = connected_components(links)
 
     # Of two under a shingle the star is the only pair; from three on the others may link without their centre.
-    named = shared.select("key", "rep", "n").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    named = shared.select("key", "rep", "n", "pos").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"), _band(F.col("n"), percent).alias("band"))
     named = staged(named, "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key")
-    rest = pairs_in_tiles(named.join(open_keys, "key", "left_semi"), bits.select("rep", "bits"), percent)
-    rest = staged(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    discard(shared)
+    members = [F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0x7FFFFFFF)).alias("y")]
+    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("rep", "pos")).alias("first"), F.collect_set("band").alias("bands"), *members).where("lo <> hi AND m > 2")
+    # Members agree on the order of their keys, so the least place of one of them is the first for all.
+    kept = open_keys.groupBy("m", "x", "y", "first.rep").agg(F.min(F.struct("first.pos", "key", "bands")).alias("least")).select("least.key", "least.bands")
+    rest = staged(pairs_in_tiles(named.join(kept, "key"), bits.select("rep", "bits"), percent), "rest")
     drop_shuffles(spark)
+    rest = staged(rest.join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = staged(verified(rest, arrays_of(texts, rest, words), percent), "links")
         drop_shuffles(spark)
@@ -194,7 +217,7 @@ def arrays_of(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
             rows = [(doc_id, shingles(text.as_py(), words).tobytes()) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield _batch(rows, [("rep", pa.int64()), ("items", pa.binary())])
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    ends = small(staged(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ends"))
     return staged(texts.join(ends, "doc_id").select("doc_id", "text").mapInArrow(arrays, "rep long, items binary"), "sets")
 
 
@@ -206,17 +229,22 @@ def within_bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (3, 5))
-                keep = pa.array(_may(n, m, x, y, percent))
+                keep = pa.array([bool(_may(p, q, *folded([x, y])[:, None], percent)[0]) for p, q, x, y in zip(n, m, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(bound, "a long, b long")
 
 
+def _fits(n: str, pos: str, m: str, other: str, percent: int) -> Column:
+    """Two sets of n and m elements can reach the threshold if their first common element is at these places of their orders."""
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(other)).cast("long")
+    return most * (100 + percent) >= (F.col(n).cast("long") + F.col(m)) * percent
+
+
 def _may(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
     """Each differing bit stands for an element that only one of the sets has, so the symmetric difference is at least the bits
     that differ, and the overlap at most half of what is left of the sizes."""
-    most = (n + m - np.bitwise_count(x ^ y).sum(-1).astype(np.int64)) // 2
+    most = (np.int64(n) + m - np.bitwise_count(x ^ y).sum(-1).astype(np.int64)) // 2
     return most * (100 + percent) >= percent * (n + m)
 
 
@@ -226,55 +254,57 @@ def _band(n: Column, percent: int) -> Column:
 
 
 def pairs_in_tiles(rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a < b) of rows (key, rep, n, label) that share a key but no label and whose signatures allow the overlap."""
-    banded = staged(rows.withColumn("band", _band(F.col("n"), percent)), "banded")
-    width = banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("in_band"))
-    here = banded.join(width, ["key", "band"]).withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
-    above = width.select("key", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
-    below = width.select("key", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
-    placed = here.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left")
-    none = F.array().cast("array<struct<band:int,t1:int,t2:int,side:int>>")
+    """Pairs (a < b) of rows (key, rep, n, pos, label, band, bands of the key) that share a key but no label and whose places
+    and signatures allow the overlap.
+
+    Only bands that need several tiles have a row in a table, one for TILE members or more.
+    """
+    banded = staged(rows, "banded")
+    wide = small(staged(banded.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1"), "wide"))
+    placed = banded
+    for name, off in (("tiles", 0), ("above", 1), ("below", -1)):
+        placed = placed.join(wide.select("key", (F.col("band") - off).alias("band"), F.col("tiles").alias(name)), ["key", "band"], "left").withColumn(name, F.coalesce(name, F.lit(1)))
+    placed = placed.withColumn("tile", F.pmod(F.hash("rep"), F.col("tiles")))
     own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("band").alias("band"), F.least(t, F.col("tile")).alias("t1"), F.greatest(t, F.col("tile")).alias("t2"), F.lit(0).alias("side")))
-    side = lambda band, tiles, low: F.when(F.col(tiles) > 0, F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda t: F.struct(band.alias("band"), (F.col("tile") if low else t).alias("t1"), (t if low else F.col("tile")).alias("t2"), F.lit(1 if low else 2).alias("side"))))
-    cells = F.concat(F.when(F.col("in_band") > 1, own).otherwise(none), F.coalesce(side(F.col("band"), "above", True), none), F.coalesce(side(F.col("band") - 1, "below", False), none))
-    useful = placed.withColumn("cells", cells).where(F.size("cells") > 0).join(bits, "rep")
-    dealt = useful.select("key", "rep", "n", "label", "bits", F.explode("cells").alias("cell")).select("key", "cell.band", "cell.t1", "cell.t2", (F.col("cell.side") > 0).alias("cross"), "cell.side", "rep", "n", "label", "bits")
+    side = lambda band, tiles, low: F.transform(F.sequence(F.lit(0), F.col(tiles) - 1), lambda t: F.struct(band.alias("band"), (F.col("tile") if low else t).alias("t1"), (t if low else F.col("tile")).alias("t2"), F.lit(1 if low else 2).alias("side")))
+    none = F.array().cast("array<struct<band:int,t1:int,t2:int,side:int>>")
+    there = lambda off, cells: F.when(F.array_contains("bands", F.col("band") + off), cells).otherwise(none)
+    cells = F.concat(own, there(1, side(F.col("band"), "above", True)), there(-1, side(F.col("band") - 1, "below", False)))
+    dealt = placed.select("key", "rep", "n", "pos", "label", F.explode(cells).alias("cell")).select("key", "cell.band", "cell.t1", "cell.t2", (F.col("cell.side") > 0).alias("cross"), "cell.side", "rep", "n", "pos", "label")
     keys = ["key", "cross", "band", "t1", "t2"]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    names = ["key", "band", "t1", "t2", "cross"]
+
+    def cells_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = [table.column(c).to_numpy() for c in names]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+        cuts = np.flatnonzero(np.r_[new, True])
+        rep, n, pos, label, side = (table.column(c).to_numpy().astype(np.int64) for c in ("rep", "n", "pos", "label", "side"))
+        left = n - pos
+        sig = table.column("bits").to_pylist()
+        ends: list[np.ndarray] = []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
+                continue
+            x = folded(sig[lo:hi])
+            for i in range(lo, hi - 1):
+                js = np.arange(i + 1, hi)
+                able = np.minimum(left[js], left[i]) * (100 + percent) >= percent * (n[js] + n[i])
+                js = js[able & (label[js] != label[i]) & (rep[js] != rep[i]) & ((side[js] != side[i]) | (side[i] == 0))]
+                if len(js):
+                    js = js[_may(n[js], n[i], x[js - lo], x[i - lo], percent)]
+                if len(js):
+                    ends.append(np.stack([np.minimum(rep[js], rep[i]), np.maximum(rep[js], rep[i])]))
+                if len(ends) >= 10_000:
+                    yield _pairs(ends)
+                    ends = []
+        if ends:
+            yield _pairs(ends)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("a", pa.int64()), ("b", pa.int64())]
+        """Rows come sorted by cell; whole cells are held, about 20,000 rows at a time, and a cell never spans more than two tiles."""
         held: list[pa.RecordBatch] = []
-        names = ["key", "band", "t1", "t2", "cross"]
-
-        def cells_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = [table.column(c).to_numpy() for c in names]
-            new = np.ones(table.num_rows, bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            cuts = np.flatnonzero(np.r_[new, True])
-            rep, n, label, side = (table.column(c).to_numpy() for c in ("rep", "n", "label", "side"))
-            sig = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if hi - lo < 2:
-                    continue
-                for i in range(lo, hi):
-                    js = np.arange(i + 1, hi)
-                    js = js[(label[js] != label[i]) & (rep[js] != rep[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])) & ((side[js] != side[i]) | (side[i] == 0))]
-                    if not len(js):
-                        continue
-                    js = js[_may(n[js], n[i], sig[js], sig[i], percent)]
-                    if len(js):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[js], rep[i])), pa.array(np.maximum(rep[js], rep[i]))], names=["a", "b"])
-
-        def done(upto: int | None) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            if upto is not None and upto < table.num_rows:
-                held.extend(table.slice(upto).to_batches())
-                table = table.slice(0, upto)
-            if table.num_rows:
-                yield from cells_of(table)
-
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) > 20_000:
@@ -282,11 +312,12 @@ def pairs_in_tiles(rows: DataFrame, bits: DataFrame, percent: int = PERCENT) ->
                 cols = [table.column(c).to_numpy() for c in names]
                 last = np.flatnonzero(np.any([c[:-1] != c[1:] for c in cols], axis=0))
                 if len(last):
-                    yield from done(int(last[-1]) + 1)
+                    held = table.slice(int(last[-1]) + 1).to_batches()
+                    yield from cells_of(table.slice(0, int(last[-1]) + 1))
         if held:
-            yield from done(None)
+            yield from cells_of(pa.Table.from_batches(held))
 
-    sorted_cells = dealt.repartition(parts, *keys).sortWithinPartitions("key", "band", "t1", "t2", "cross", "side")
+    sorted_cells = dealt.join(bits, "rep").repartition(parts, *keys).sortWithinPartitions(*names, "side")
     return sorted_cells.mapInArrow(meet, "a long, b long").distinct()
 
 
