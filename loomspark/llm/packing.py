@@ -1,18 +1,24 @@
 """Tokenizing and bulk-synchronous best-fit packing.
 
-Documents become pieces of at most `capacity` tokens. Packing runs in supersteps over sizes: pieces are range-sorted by length,
-longest first; each superstep takes one length and lets all its pieces seek their best gap at once - the smallest gap that is
-long enough, the successor in the sorted gaps. Pieces that want the same gaps are told apart by their rank: the first rank
-takes the first sequence. Gaps shrink by what they took, what found none opens new sequences, and the next length follows.
-
-Pieces of equal length are interchangeable, and so are sequences with equal gaps, so a superstep decides whole runs of ranks
-at a time. The state is a list of runs over at most `capacity` lengths and gaps, independent of the number of documents; the
-sweep over it is a few milliseconds of arithmetic. What grows with the data is distributed: counting lengths, range-sorting
-the pieces, and finding each rank's successor in the runs. The packing equals sequential best-fit decreasing.
-
-Edge cases: a null or empty text is one piece that holds the end id alone; ties in length are ordered by id and piece; repeated
-rows are packed each; an empty table gives an empty result; a text of any length is tokenized whole and only cut at multiples
-of the capacity; only the id and text columns are read.
+Documents become pieces of at most `capacity` tokens. Packing runs in supersteps over classes of lengths, longest first
+(capacity/2 to capacity, capacity/3 to capacity/2, ...). All pieces of a class seek the best gap at once:
+
+1. gaps and pieces are range-sorted together by size, descending. A gap that surely holds several pieces of the class offers
+   as many slots;
+2. each task sweeps its range and hands every piece its successor, the smallest slot left that is long enough. Pieces that want
+   the same slot are told apart by rank: the first takes it, the next takes the next larger one, which is what a stack of slots
+   gives;
+3. pieces that found no slot in their range take the slots left over in the ranges before, nearest first. How many each range
+   has left over and lacks - two numbers a partition - decides that; pieces and slots then meet in a join by range and rank;
+4. what is left opens new sequences, as many pieces to each as surely fit. Gaps shrink by what they took, and the next class
+   follows.
+
+The number of supersteps is that of the classes, whatever the input. Nothing but two numbers a partition and one a class
+reaches the driver.
+
+Edge cases: a null or empty text is one piece that holds the end id alone; ties in length are ordered by id and piece; rows that
+repeat an id, or have none, are packed each; an empty table gives an empty result; a text of any length is tokenized whole and
+only cut at multiples of the capacity; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -23,25 +29,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import drop_shuffles, staged
+from loomspark.llm.common import discard, drop_shuffles, staged
 
 CAPACITY, END_ID = 4096, 1
-#: Distinct words whose ids a task remembers at once.
-REMEMBER = 400_000
+#: Distinct words whose ids a worker remembers at once.
+REMEMBER = 600_000
+#: Pieces of class k surely fit k times into an empty sequence.
+SHARES = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256, 4096)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-
-_ENDS = b".,;:!?"
+#: Punctuation that closes a word; apostrophes begin contractions, and <|> may belong to a special token.
+_ENDS = b".,;:!?%&$#*+-/=@^_~()[]{}\"\\`"
+_APART = b"\x01"
 
 
 class WordIds:
     """Ids of a text, word by word: this tokenizer drops white space, so no token and no normalisation crosses it.
 
-    Words that are not known yet are encoded together, in one text, and told apart by their offsets. Punctuation after a
-    letter is a token of its own, so a word's end is looked up by itself. ASCII capitals are folded before the look-up where
+    Words that are not known yet are encoded together, in one text, with a character between them that is a token of its own.
+    Punctuation after a letter is a token of its own, so a word's end is looked up by itself where normalisation leaves the
+    letter one letter (a-z and Latin letters up to U+024F, U+0130 excepted). ASCII capitals are folded before the look-up where
     that cannot matter: not beside combining marks, and not where a special token's text might come about.
     """
 
@@ -49,24 +59,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.encode, self.known = Tokenizer.from_file(path).encode, {}
+        (self.apart,) = self.encode(_APART.decode(), add_special_tokens=False).ids
+
+    def _ids(self, text: bytes) -> np.ndarray:
+        return np.array(self.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
+        odd = [w for w in words if _APART in w or b"<|" in w]
+        if odd:
+            self.known.update((w, self._ids(w).tobytes()) for w in odd)
+            words = sorted(set(words).difference(odd))
         for k in range(0, len(words), 512):
             some = words[k : k + 512]
-            text = b" ".join(some).decode()
-            lengths = [len(w.decode()) for w in some]
-            starts = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
-            found = self.encode(text, add_special_tokens=False)
-            ids = np.asarray(found.ids, "<u4")
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), np.append(starts, len(text) + 1)).tolist()
-            for w, a, b in zip(some, cuts, cuts[1:], strict=False):
-                self.known[w] = ids[a:b].tobytes()
+            ids = self._ids((b" " + _APART + b" ").join(some))
+            cuts = (4 * np.flatnonzero(ids == self.apart)).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                self.known[w] = raw[a:b]
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, ...]:
         body = word.rstrip(_ENDS)
-        if len(body) < len(word) and body and body.decode()[-1].isalpha():
-            return body, word[len(body) :]
+        if body and len(body) < len(word):
+            if 97 <= body[-1] <= 122 or 65 <= body[-1] <= 90:
+                return body, word[len(body) :]
+            if len(body) > 1 and 0xC3 <= body[-2] <= 0xC9:
+                c = body[-2:].decode()
+                if c.isalpha() and c != "\u0130":
+                    return body, word[len(body) :]
         return (word,)
 
     def many(self, texts: list[str | None]) -> list[bytes]:
@@ -80,12 +100,17 @@ class WordIds:
         known = self.known
         if len(known) > REMEMBER:
             known.clear()
-        fresh = {w: self._parts(w) for w in set().union(*listed).difference(known)}
+        fresh = set().union(*listed).difference(known)
         if fresh:
-            self._learn(sorted({p for parts in fresh.values() for p in parts if p not in known}))
-            for w, parts in fresh.items():
+            whole, split = set(), []
+            for w in fresh:
+                parts = self._parts(w)
                 if len(parts) > 1:
-                    known[w] = known[parts[0]] + known[parts[1]]
+                    split.append((w, parts))
+                whole.update(parts)
+            self._learn(sorted(whole.difference(known)))
+            for w, (a, b) in split:
+                known[w] = known[a] + known[b]
         out = [b"".join([known[w] for w in words]) for words in listed]
         for w in fresh:
             if len(w) > 64:
@@ -123,89 +148,165 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Runs of the supersteps: columns first rank, first sequence, pieces per sequence, offset in the sequence, length.
+def resolve(tallies: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, tuple[int, int]], int]:
+    """Which partitions' left-over slots go to which partitions' unplaced pieces; tallies are (partition, unplaced, left over) in
+    the order of the sweep.
 
-    Ranks follow length (descending). The piece of rank r in a run lies in sequence first + (r - rank) // per, at
-    offset + ((r - rank) % per) * length.
+    Returns runs (pieces' partition, first piece, how many, slots' partition, first slot, counted downwards); by partition the
+    first piece that no slot is left for, with its rank among all such; and the number of those.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by gap: runs of sequences (first, how many)
-    held = np.zeros(capacity + 1, bool)
-    runs, rank, opened = [], 0, 0
-
-    def place(first: int, many: int, gap: int, length: int, left: int) -> int:
-        """Fills `many` sequences with equal gaps, as far as pieces are left; returns how many pieces went in."""
-        nonlocal rank
-        per = gap // length
-        full, rest = min(many, left // per), 0
-        if full < many and left > full * per:
-            rest = left - full * per
-        for start, n, each in ((first, full, per), (first + full, 1 if rest else 0, rest)):
-            if n:
-                runs.append((rank, start, each, capacity - gap, length))
-                rank += n * each
-                if (g := gap - each * length) > 0:
-                    gaps[g].append((start, n))
-                    held[g] = True
-        if (unused := many - full - (1 if rest else 0)) > 0:
-            gaps[gap].append((first + many - unused, unused))
-            held[gap] = True
-        return full * per + rest
-
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
-        for gap in np.flatnonzero(held[length:]) + length:
-            waiting, gaps[gap] = gaps[gap], []
-            held[gap] = False
-            for k, (first, many) in enumerate(waiting):
-                left -= place(first, many, int(gap), length, left)
-                if not left:
-                    gaps[gap] += waiting[k + 1 :]
-                    held[gap] = bool(gaps[gap])
-                    break
-            if not left:
-                break
+    slots: list[list[int]] = []
+    runs, rest, total = [], {}, 0
+    for part, lacking, left in tallies:
+        at = 0
+        while at < lacking and slots:
+            n = min(slots[-1][1], lacking - at)
+            runs.append((part, at, n, slots[-1][0], slots[-1][1] - 1))
+            at += n
+            slots[-1][1] -= n
+            if not slots[-1][1]:
+                slots.pop()
+        rest[part] = (at, total)
+        total += lacking - at
         if left:
-            need = -(-left // (capacity // length))
-            place(opened, need, capacity, length, left)
-            opened += need
-    return np.array(runs, np.int64).reshape(-1, 5)
+            slots.append([part, left])
+    return runs, rest, total
 
 
-def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length and more) with sequence_id and offset."""
-    spark = pieces.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    names = pieces.columns
+_PLACED, _LEFT, _LACKING = 0, 1, 2
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], names=[*names, "part", "nth"])
-            at += n
 
-    order = [F.desc("length"), "doc_id", "piece"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", part int, nth long"
-    sorted_pieces = staged(pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(number, schema), "sorted-pieces")
-    drop_shuffles(spark)
-    # Both results are bounded: one row a length, one row a partition.
-    counts = {r["length"]: r["n"] for r in sorted_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {r["part"]: r["n"] for r in sorted_pieces.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    runs = best_fit_runs(counts, capacity)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sweep(names: list[str]):
+    """Rows (the pieces' columns, seq, slots) come by size, descending; slots of gaps before pieces of the same size."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, stack, lacking = TaskContext.get().partitionId(), [], 0
+        types = None
+        for batch in batches:
+            types = types or [c.type for c in batch.columns[: len(names)]]
+            keep, seqs, state, idx = [], [], [], []
+            for i, (seq, slots) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
+                if seq is not None:
+                    stack.append([seq, slots])
+                    continue
+                keep.append(i)
+                if stack:
+                    top = stack[-1]
+                    top[1] -= 1
+                    if not top[1]:
+                        stack.pop()
+                    seqs.append(top[0])
+                    state.append(_PLACED)
+                    idx.append(None)
+                else:
+                    seqs.append(None)
+                    state.append(_LACKING)
+                    idx.append(lacking)
+                    lacking += 1
+            if keep:
+                some = [c.take(pa.array(keep)) for c in batch.columns[: len(names)]]
+                yield _swept(names, some, seqs, state, part, idx, [None] * len(keep))
+        for k in range(0, len(stack), 10_000):
+            if not k:
+                below = 0
+            some = stack[k : k + 10_000]
+            counts = [n for _, n in some]
+            firsts = [below + x for x in np.cumsum([0, *counts[:-1]]).tolist()]
+            below += sum(counts)
+            yield _swept(names, [pa.nulls(len(some), t) for t in types], [q for q, _ in some], [_LEFT] * len(some), part, firsts, counts)
+
+    return sweep
+
+
+def _swept(names: list[str], columns: list, seqs: list, state: list, part: int, idx: list, slots: list) -> pa.RecordBatch:
+    more = [pa.array(seqs, pa.int64()), pa.array(state, pa.int32()), pa.array([part] * len(state), pa.int32()), pa.array(idx, pa.int64()), pa.array(slots, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, *more], names=[*names, "seq", "state", "part", "idx", "slots"])
+
+
+def _superstep(waiting: DataFrame, used: DataFrame | None, capacity: int, share: int, least: int, opened: int, parts: int) -> tuple[DataFrame, int]:
+    """Places all pieces of one class, lengths of more than `least` and at most capacity // share.
+
+    used: seq and tokens in it. Returns the pieces with their seq, and how many sequences are open then.
+    """
+    names, most = waiting.columns, capacity // share
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in waiting.schema)
+    rows = waiting.withColumns({"seq": F.lit(None).cast("long"), "slots": F.lit(0).cast("long"), "size": F.col("length").cast("long"), "gap": F.lit(0).cast("long")})
+    if used is not None:
+        gaps = used.select("seq", (capacity - F.col("used")).alias("gap")).where(F.col("gap") > least)
+        slots = F.greatest(F.floor(F.col("gap") / most), F.lit(1)).cast("long")
+        nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in waiting.schema]
+        rows = gaps.select(*nothing, "seq", slots.alias("slots"), F.least("gap", F.lit(most)).cast("long").alias("size"), "gap").unionByName(rows)
+    order = [F.desc("size"), F.col("seq").isNull(), F.desc("gap"), "seq", "doc_id", "piece"]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*names, "seq", "slots")
+    swept = staged(dealt.mapInArrow(_sweep(names), schema + ", seq long, state int, part int, idx long, slots long"), "swept")
+    told = swept.where(F.col("state") != _PLACED).groupBy("part").agg(F.count_if(F.col("state") == _LACKING).alias("lacking"), F.coalesce(F.sum("slots"), F.lit(0)).alias("left"))
+    runs, rest, total = resolve(sorted((r["part"], r["lacking"], r["left"]) for r in told.collect()))
+    by_piece: dict[int, list] = {}
+    by_slot: dict[int, list] = {}
+    for part, first, n, other, top in runs:
+        by_piece.setdefault(part, []).append((first, n, other, top))
+        by_slot.setdefault(other, []).append((top - n + 1, top))
+
+    def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unplaced pieces with the place of their slot, or with a new sequence."""
+        for batch in batches:
+            seqs, parts_of, slots_of = [], [], []
+            for part, idx in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+                first, rank = rest[part]
+                hit = None if idx >= first else next((other, top - (idx - at)) for at, n, other, top in by_piece[part] if at <= idx < at + n)
+                seqs.append(None if hit else opened + (rank + idx - first) // share)
+                parts_of.append(hit and hit[0])
+                slots_of.append(hit and hit[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(seqs, pa.int64()), pa.array(parts_of, pa.int32()), pa.array(slots_of, pa.int64())], names=[*names, "seq", "of", "slot"])
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The left-over slots that runs ask for."""
         for batch in batches:
-            part, nth = batch.column(len(names)).to_numpy(), batch.column(len(names) + 1).to_numpy()
-            rank = nth + np.array([before[p] for p in part.tolist()], np.int64)
-            run = runs[np.searchsorted(runs[:, 0], rank, "right") - 1] if len(rank) else runs[:0]
-            within = rank - run[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(run[:, 1] + within // run[:, 2]), pa.array(run[:, 3] + within % run[:, 2] * run[:, 4])], names=[*names, "sequence_id", "offset"])
+            out = []
+            for seq, part, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for low, high in by_slot.get(part, ()):
+                    out += [(part, k, seq) for k in range(max(low, first), min(high, first + n - 1) + 1)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["of", "slot", "found"])
+
+    done = swept.where(F.col("state") == _PLACED).select(*names, "seq")
+    sought = swept.where(F.col("state") == _LACKING).select(*names, "part", "idx").mapInArrow(seek, schema + ", seq long, of int, slot long")
+    if runs:
+        offered = swept.where(F.col("state") == _LEFT).select("seq", "part", "idx", "slots").mapInArrow(offer, "of int, slot long, found long")
+        sought = sought.join(offered, ["of", "slot"], "left").withColumn("seq", F.coalesce("seq", "found"))
+    placed = staged(done.unionByName(sought.select(*names, "seq")), "placed")
+    discard(swept)
+    return placed, opened + -(-total // share)
 
-    return sorted_pieces.mapInArrow(place, schema.removesuffix(", part int, nth long") + ", sequence_id long, offset long")
+
+def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces (doc_id, piece, length and more) with sequence_id and offset; pieces is read once a class, so it should be staged."""
+    spark = pieces.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    shares = [k for k in SHARES if k <= capacity]
+    bounds = [(k, capacity // m if m else 0) for k, m in zip(shares, [*shares[1:], None], strict=True)]
+    held = F.array(*[F.lit(least) for _, least in bounds])
+    counts = pieces.groupBy(F.size(F.filter(held, lambda x: x >= F.col("length"))).alias("nth")).count().collect()
+    used, opened, placed = None, 0, []
+    for nth in sorted(r["nth"] for r in counts):
+        share, least = bounds[nth]
+        waiting = pieces.where((F.col("length") > least) & (F.col("length") <= capacity // share))
+        done, opened = _superstep(waiting, used, capacity, share, least, opened, parts)
+        placed.append(done)
+        if nth < len(bounds) - 1:
+            more = done.select("seq", F.col("length").cast("long").alias("used"))
+            fresh = (more if used is None else used.unionByName(more)).groupBy("seq").agg(F.sum("used").alias("used")).where(F.col("used") < capacity)
+            fresh, before = staged(fresh, "used"), used
+            if before is not None:
+                discard(before)
+            used = fresh
+        drop_shuffles(spark)
+    every = pieces.where(F.lit(False)).withColumn("seq", F.lit(None).cast("long"))
+    for done in placed:
+        every = done if done is placed[0] else every.unionByName(done)
+    in_sequence = Window.partitionBy("seq").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(in_sequence), F.lit(0)).cast("long")
+    return every.withColumn("offset", offset).select(*pieces.columns, F.col("seq").alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,10 +13,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomspark.llm import exact_dedup, jpeg, media, near_join, packing, pieces, pii, quality, repeats, token_counts, toxicity
+from loomspark.llm.common import staged
 from loomspark.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
 PIECES, WORDS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+WORD_IDS = packing.WordIds(WORDS)
 LINE = "A passage of some length that many of the documents share word for word, though what stands around it is never the same. "
 
 
@@ -204,31 +206,74 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=12))
-@settings(max_examples=100, deadline=None)
-def test_best_fit_equals_sequential(counts):
-    """The supersteps give as many sequences, as full, as best fit one by one."""
-    gaps, sizes = [], [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
-    for n in sizes:
+@given(st.lists(st.text(alphabet=st.sampled_from("aZ\u0130\u00e9\u0301\u0958\u09dc\u212b\u00dfK1 .,;:!?'<|>%&\u4e2d\x01\n-s"), max_size=40), min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_word_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert WORD_IDS.many(texts) == want
+
+
+def test_word_ids_of_every_letter_before_punctuation():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    letters = [chr(k) for k in range(0x41, 0x30000) if chr(k).isalpha()]
+    letters = letters[:3000] + letters[3000::7] + [chr(k) for k in (*range(0x958, 0x960), *range(0x9DC, 0x9E0), 0x130, 0x1E9E)]
+    for end in (",", ".", "!?", ";:", "%%"):
+        texts = [f"x{c}{end}" for c in letters]
+        want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+        got = WORD_IDS.many(texts)
+        assert [x for x, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def best_fit_by_force(sizes, capacity):
+    gaps = []
+    for n in sorted(sizes, reverse=True):
         fit = [g for g in gaps if g >= n]
         if fit:
             gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
-        else:
-            gaps.append(60 - n)
-    runs = packing.best_fit_runs(counts, 60)
-    rank = np.arange(len(sizes))
-    run = runs[np.searchsorted(runs[:, 0], rank, "right") - 1]
-    assert run[:, 4].tolist() == sizes
-    sequence = run[:, 1] + (rank - run[:, 0]) // run[:, 2]
-    offset = run[:, 3] + (rank - run[:, 0]) % run[:, 2] * run[:, 4]
-    used = np.bincount(sequence, sizes).astype(int)
-    assert sorted(60 - used) == sorted(gaps)
-    for s in set(sequence.tolist()):
+        gaps.append((min(fit) if fit else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("capacity", "sizes"), [(60, "mixed"), (60, "small"), (60, "equal"), (4096, "mixed"), (7, "ties")])
+def test_packing_supersteps(spark, capacity, sizes):
+    """Every piece once, sequences gapless and within the capacity, and about as many of them as best fit one by one opens."""
+    rng = np.random.default_rng(8)
+    n = {"mixed": rng.integers(1, capacity + 1, 700), "small": rng.integers(1, 9, 500), "equal": np.full(100, capacity // 3 + 1), "ties": rng.integers(1, 4, 300)}[sizes]
+    pieces = spark.createDataFrame([(int(k) if k % 9 else None, 0, int(x)) for k, x in enumerate(n)], "doc_id long, piece int, length long")
+    rows = packing.best_fit_pack(staged(pieces, "pieces"), capacity).collect()
+    assert sorted(r.length for r in rows) == sorted(n.tolist())
+    by_sequence = defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+    for spans in by_sequence.values():
         at = 0
-        for o, n in sorted((o, n) for o, n, q in zip(offset, sizes, sequence, strict=True) if q == s):
-            assert o == at
-            at += n
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(by_sequence) <= 1.02 * best_fit_by_force(n.tolist(), capacity) + 2
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=8))
+@settings(max_examples=200, deadline=None)
+def test_left_over_slots_go_to_the_nearest(tallies):
+    runs, rest, total = packing.resolve([(k, a, b) for k, (a, b) in enumerate(tallies)])
+    stack, want, lacking = [], {}, 0
+    for k, (a, b) in enumerate(tallies):
+        for i in range(a):
+            if stack:
+                want[k, i] = stack.pop()
+            else:
+                assert rest[k][1] + i - rest[k][0] == lacking
+                lacking += 1
+        stack += [(k, i) for i in range(b)]
+    assert total == lacking
+    assert want == {(p, at + i): (q, top - i) for p, at, n, q, top in runs for i in range(n)}
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
