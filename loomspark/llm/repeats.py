@@ -12,7 +12,8 @@ bytes alone, so equal windows have equal anchors at equal distances. Neighbourin
    go into a blind trie each, which tells equal windows apart from those that differ further on.
 
 A contested anchor string with more than `BUCKET` different segments is salted over several tasks; each passes on its own
-first occurrences, whose 128-bit hashes then meet in an aggregate with map-side combine.
+first occurrences as packed runs of (128-bit hash, position), cut by ranges of the hash. The runs of one range are merged in
+one task; a window occurs there once a task, however often it does in the corpus.
 
 Edge cases: null counts as empty; texts under 100 bytes keep all bytes; matches never cross documents; ties in position are
 settled by doc_id, then start. Ids are taken as unique: rows that repeat an id with the same text count as one document and get
@@ -38,8 +39,11 @@ GRAM = 24
 #: Bytes scanned at once; positions in a block take BITS bits of a sort key.
 BITS = 19
 BLOCK = (1 << BITS) - LENGTH - 1
-#: Segments of one anchor string that one task sorts.
-BUCKET = 128
+#: Segments of one anchor string that one task sorts; with their windows, some ten megabytes.
+BUCKET = 1024
+#: First windows that a task holds before it passes them on, and the record each has.
+HEADS = 200_000
+_HEAD = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc_id", "<i8"), ("start", "<i4")])
 #: Bytes that the quicksort looks at before it leaves a group to a trie.
 SHALLOW = 32
 
@@ -200,12 +204,28 @@ def first_equal(text: bytes, group: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contested segments, sorted by group: repeats within the task as spans, and of salted groups the hashes of first windows."""
-    names = ["doc_id", "start", "stop", "h1", "h2"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+_FOUND = [("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("bin", pa.int32()), ("run", pa.binary())]
 
-    def work(rows: list[tuple]) -> pa.RecordBatch:
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _FOUND, strict=True)], names=[n for n, _ in _FOUND])
+
+
+def _runs(heads: list[np.ndarray], bins: int) -> pa.RecordBatch:
+    """First windows, one run for each range of the hash."""
+    every = np.concatenate(heads)
+    of = ((every["h1"] >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    every, of = every[order], of[order]
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]).tolist()
+    return _found([(None, None, None, int(of[a]), every[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
+
+
+def _sorted_windows(bins: int):
+    """Contested segments, sorted by group: repeats within the task as spans, and of salted groups the runs of first windows."""
+
+    def work(rows: list[tuple], heads: list[np.ndarray]) -> pa.RecordBatch:
         rows.sort(key=lambda r: (r[3], r[4]))
         keys: dict[tuple, int] = {}
         group = np.array([keys.setdefault(r[:2], len(keys)) for r in rows], np.int64)
@@ -220,23 +240,59 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         run = np.r_[True, (again[1:] != again[:-1] + 1) | (of[again[1:]] != of[again[:-1]])] if len(again) else np.zeros(0, bool)
         head = again[run]
         tail = again[np.r_[run[1:], True]] if len(again) else head
-        out = [(rows[of[a]][3], rows[of[a]][4] + int(within[a]), rows[of[b]][4] + int(within[b]) + LENGTH, None, None) for a, b in zip(head, tail, strict=True)]
         salted = np.array([r[2] > 1 for r in rows], bool)
-        for w in np.flatnonzero(salted[of] & (first == np.arange(len(first)))).tolist():
-            r, p = rows[of[w]], int(base[of[w]] + within[w])
-            d = xxhash.xxh3_128_digest(text[p : p + LENGTH])
-            out.append((r[3], r[4] + int(within[w]), None, int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True)))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=names)
-
-    held: list[tuple] = []
+        own = np.flatnonzero(salted[of] & (first == np.arange(len(first))))
+        if len(own):
+            out = np.empty(len(own), _HEAD)
+            digest = xxhash.xxh3_128_digest
+            hashes = np.frombuffer(b"".join([digest(text[q : q + LENGTH]) for q in (base[of[own]] + within[own]).tolist()]), "<u8").reshape(-1, 2)
+            out["h1"], out["h2"] = hashes[:, 0], hashes[:, 1]
+            out["doc_id"] = np.array([r[3] for r in rows], np.int64)[of[own]]
+            out["start"] = np.array([r[4] for r in rows], np.int64)[of[own]] + within[own]
+            heads.append(out)
+        return _found([(rows[of[a]][3], rows[of[a]][4] + int(within[a]), rows[of[b]][4] + int(within[b]) + LENGTH, None, None) for a, b in zip(head, tail, strict=True)])
+
+    def sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        heads: list[np.ndarray] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(held) >= 5000 and held[-1][:2] != r[:2]:
+                    yield work(held, heads)
+                    held = []
+                    if sum(map(len, heads)) >= HEADS:
+                        yield _runs(heads, bins)
+                        heads = []
+                held.append(r)
+        if held:
+            yield work(held, heads)
+        if heads:
+            yield _runs(heads, bins)
+
+    return sorted_windows
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (bin, run) sorted by bin: all windows but the first of each hash, as spans."""
+
+    def spans(runs: list[bytes]) -> pa.RecordBatch:
+        every = np.frombuffer(b"".join(runs), _HEAD)
+        order = np.lexsort((every["start"], every["doc_id"], every["h2"], every["h1"]))
+        every = every[order]
+        again = every[1:][(every["h1"][1:] == every["h1"][:-1]) & (every["h2"][1:] == every["h2"][:-1])]
+        start = again["start"].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(again["doc_id"].astype(np.int64)), pa.array(start), pa.array(start + np.int32(LENGTH))], names=["doc_id", "start", "stop"])
+
+    held, last = [], None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if len(held) >= 5000 and held[-1][:2] != r[:2]:
-                yield work(held)
+        for k, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and k != last:
+                yield spans(held)
                 held = []
-            held.append(r)
+            last = k
+            held.append(run)
     if held:
-        yield work(held)
+        yield spans(held)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,13 +332,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings = texts.join(by_doc, "doc_id").select("doc_id", "text", "segments").mapInArrow(cut, "gram long, salt int, salts int, doc_id long, start int, bytes binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = strings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
-    found = staged(dealt.mapInArrow(_sorted_windows, "doc_id long, start int, stop int, h1 long, h2 long"), "windows")
+    found = staged(dealt.mapInArrow(_sorted_windows(4 * parts), "doc_id long, start int, stop int, bin int, run binary"), "windows")
     discard(firsts)
     drop_shuffles(spark)
     local = found.where("stop IS NOT NULL").select("doc_id", "start", "stop")
-    heads = found.where("stop IS NULL")
-    least = heads.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "at")
-    across = heads.join(least, ["h1", "h2"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start"))).select("doc_id", "start", (F.col("start") + LENGTH).alias("stop"))
+    across = found.where("bin IS NOT NULL").select("bin", "run").repartition(parts, "bin").sortWithinPartitions("bin").mapInArrow(_merged, "doc_id long, start int, stop int")
     spans = staged(copies.unionByName(local).unionByName(across), "spans")
     discard(copies, found)
     drop_shuffles(spark)

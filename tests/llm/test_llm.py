@@ -68,8 +68,11 @@ def removed_by_force(rows):
 
 
 @pytest.mark.parametrize("bucket", [1, 64])
-def test_repeats(docs, bucket, monkeypatch):
+def test_repeats(docs, none, bucket, monkeypatch):
     monkeypatch.setattr(repeats, "BUCKET", bucket)
+    monkeypatch.setattr(repeats, "HEADS", 50 * bucket)
+    if bucket == 1:
+        assert repeats.remove_repeats(none).count() == 0
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect()}
     assert got == removed_by_force(texts())
 
