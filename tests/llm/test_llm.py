@@ -172,20 +172,39 @@ def test_token_counts(docs, none, monkeypatch):
     assert token_counts.token_counts(none, PIECES).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [64, 1000, 32768])
-def test_pieces(docs, chunk):
+def ids_by_library(rows):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    want = {}
-    for i, t in texts():
-        ids = np.array(sp.encode(t), np.int64)
-        want[i] = (len(t.encode()), len(ids), int((ids * np.arange(1, len(ids) + 1)).sum()), True)
-    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.ids_sum, r.round_trip) for r in pieces.encoding_report(docs, PIECES, chunk=chunk).collect()}
-    assert got == want
+    out = []
+    for i, t in rows:
+        ids = np.array(sp.encode(t or ""), np.int64)
+        out.append((i, len((t or "").encode()), len(ids), int((ids * np.arange(1, len(ids) + 1)).sum()), True))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("chunk", [64, 1000, 32768])
+def test_pieces(docs, none, chunk):
+    got = [(r.doc_id, r.n_bytes, r.n_tokens, r.ids_sum, r.round_trip) for r in pieces.encoding_report(docs, PIECES, chunk=chunk).collect()]
+    assert sorted(got, key=str) == ids_by_library(texts())
     if chunk == 1000:
         back = {r.doc_id: r.text for r in pieces.decoded_texts(pieces.encode(docs, PIECES, chunk=chunk), PIECES).collect()}
         assert back == dict(texts())
+        assert pieces.encoding_report(none, PIECES).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [32, 48, 65])
+def test_pieces_of_random_texts(spark, chunk, monkeypatch):
+    """Short chunks, a tree of several levels, and rows that repeat an id or have none."""
+    monkeypatch.setattr(pieces, "FAN", 3)
+    rng = np.random.default_rng(chunk)
+    parts = ["the", "ing", " ", "  ", "       ", "\n", "\t", "漢字", "かな", "😀", "é", "e\u0301", "\x00", "\x07", "▁", "123", "aaaa", "abab", "zzzzzz", ".", "-----", "Straße", "\u00a0", "؟", "x"]
+    rows = [(int(k) // 2 if k % 7 else None, "".join(rng.choice(parts, int(rng.integers(0, 300))))) for k in range(40)]
+    rows += [(1000, "ab" * 900), (1000, "ab" * 900), (1000, "c" * 700), (None, " " * 500), (None, None)]
+    got = [(r.doc_id, r.n_bytes, r.n_tokens, r.ids_sum, r.round_trip) for r in pieces.encoding_report(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, chunk=chunk).collect()]
+    assert sorted(got, key=str) == ids_by_library(rows)
+    with pytest.raises(ValueError, match="characters"):
+        pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES, chunk=8)
 
 
 def test_packing(docs, none):
