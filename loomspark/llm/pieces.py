@@ -25,7 +25,7 @@ result; only the id and text columns are read. Chunks have LEAST_CHUNK character
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +42,8 @@ LEAST_CHUNK = 2 * LONGEST
 #: Children of a node of the product tree.
 FAN = 64
 NEVER = -np.inf
-#: Words, and parts of words, that a worker remembers.
-REMEMBER = 200_000
+#: Words, and parts of words, that a worker remembers, and the longest of them.
+REMEMBER, REMEMBER_CHARS = 200_000, 48
 #: Texts whose new words the library learns at once, and rows of a batch that goes out.
 TOGETHER = 100
 
@@ -168,7 +168,7 @@ class Scanner:
         """Looks up the words of texts (with spaces for marks) together."""
         if len(self.words) > REMEMBER:
             self.words.clear()
-        fresh = sorted({w for t in texts for w in PRE_TOKEN.findall(t)}.difference(self.words))
+        fresh = sorted(w for w in {w for t in texts for w in PRE_TOKEN.findall(t)}.difference(self.words) if len(w) <= REMEMBER_CHARS)
         for k in range(0, len(fresh), 2000):
             some = fresh[k : k + 2000]
             for w, ids in zip(some, self.sp.encode(["\n" + w for w in some], num_threads=1), strict=True):
@@ -176,13 +176,7 @@ class Scanner:
 
     def of_words(self, words: list[str]) -> bytes:
         known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(self.sp.encode("\n" + w)[2:], "<u4").tobytes()
-            return b"".join([known[w] for w in words])
+        return b"".join([known[w] if w in known else np.array(self.sp.encode("\n" + w)[2:], "<u4").tobytes() for w in words])
 
     def bytes_of(self, ids: bytes) -> bytes:
         """The marked text's bytes, with spaces for marks, that packed ids stand for."""
@@ -256,10 +250,11 @@ def _states(children: pd.DataFrame, start: tuple | None, stop: tuple | None) ->
 def combined(matrices: DataFrame) -> DataFrame:
     """row, node, l1, l2, r1, r2: the states of every chunk; matrices (row, node, lefts, rights, weights) are the tree's leaves."""
     chosen = "row long, node long, l1 long, l2 long, r1 long, r2 long"
+    spread = max(int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     levels = [matrices]
     while (levels[-1].agg(F.max("node")).first()[0] or 0) >= FAN:
-        levels.append(staged(levels[-1].groupBy("row", F.floor(F.col("node") / FAN)).applyInPandas(_product, _NODE), "products"))
-    out = levels[-1].groupBy("row").applyInPandas(lambda top: _states(top, None, None), chosen)
+        levels.append(staged(levels[-1].withColumn("parent", F.floor(F.col("node") / FAN)).repartition(spread, "row", "parent").groupBy("row", "parent").applyInPandas(_product, _NODE), "products"))
+    out = levels[-1].repartition(spread, "row").groupBy("row").applyInPandas(lambda top: _states(top, None, None), chosen)
     for level in reversed(levels[:-1]):
         above = out
 
@@ -271,13 +266,20 @@ def combined(matrices: DataFrame) -> DataFrame:
     return out
 
 
+_ENCODED = [("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("ids", pa.binary()), ("n_bytes", pa.int64()), ("source_crc32", pa.int64())]
+_ENCODED_SCHEMA = "row long, doc_id long, chunk int, ids binary, n_bytes long, source_crc32 long"
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """row (a key of the input row), doc_id, chunk, ids (packed 32-bit numbers), n_bytes and source_crc32 of the characters the chunk's pieces cover."""
+    return _encoded(docs, model, id_col, text_col, chunk, lambda batches: batches, _ENCODED_SCHEMA)
+
+
+def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `then` makes of the encoded batches, in the worker that encodes them."""
     if chunk < LEAST_CHUNK:
         raise ValueError(f"chunks need {LEAST_CHUNK} characters")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("ids", pa.binary()), ("n_bytes", pa.int64()), ("source_crc32", pa.int64())]
-    schema = "row long, doc_id long, chunk int, ids binary, n_bytes long, source_crc32 long"
 
     def told(s: Scanner, r: dict, start: tuple[int, int], stop: tuple[int, int]) -> tuple:
         part = r["part"].replace(" ", MARK)
@@ -306,7 +308,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                             rows.append((key, doc_id, n, low, b - low, end - low, marked_text[low : end + 2 * LONGEST], b == 0, end == len(marked_text)))
                     if whole:
                         named = (dict(zip((n for n, _ in _PART), r, strict=True)) for r in rows)
-                        yield _rows([told(s, r, (0, 0), (r["right"], r["right"])) for r in named], fields)
+                        yield _rows([told(s, r, (0, 0), (r["right"], r["right"])) for r in named], _ENCODED)
                     else:
                         yield _rows(rows, _PART)
 
@@ -335,7 +337,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 for r in listed:
                     start = (0, 0) if r["first"] else (r["l1"] - r["base"], r["l2"] - r["base"])
                     rows.append(told(s, r, start, (r["r1"] - r["base"], r["r2"] - r["base"])))
-                yield _rows(rows, fields)
+                yield _rows(rows, _ENCODED)
 
     giant = F.length("text") >= chunk
     parts = staged(texts.where(giant).mapInArrow(cut(False), "row long, doc_id long, chunk int, base int, left int, right int, part string, first boolean, last boolean"), "parts")
@@ -343,8 +345,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     matrices = staged(parts.repartition(spread, "row", "chunk").mapInArrow(transfer, _NODE), "matrices")
     states = staged(combined(matrices), "states")
     discard(matrices)
-    long_texts = parts.join(states.withColumnRenamed("node", "chunk").withColumn("chunk", F.col("chunk").cast("int")), ["row", "chunk"]).mapInArrow(trace, schema)
-    return texts.where(~giant).mapInArrow(cut(True), schema).unionByName(long_texts)
+    long_texts = parts.join(states.withColumnRenamed("node", "chunk").withColumn("chunk", F.col("chunk").cast("int")), ["row", "chunk"]).mapInArrow(lambda batches: then(trace(batches)), schema)
+    whole = cut(True)
+    return texts.where(~giant).mapInArrow(lambda batches: then(whole(batches)), schema).unionByName(long_texts)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -372,14 +375,15 @@ def encoding_report(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     fields = [("row", pa.int64()), ("doc_id", pa.int64()), ("chunk", pa.int32()), ("n_bytes", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("weighted", pa.int64()), ("same", pa.bool_())]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = scanner(model)
         for batch in batches:
             rows = []
-            for row, doc_id, k, ids, n_bytes, crc, spelled in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "chunk", "ids", "n_bytes", "source_crc32", "spelled")), strict=True):
+            for row, doc_id, k, ids, n_bytes, crc in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "chunk", "ids", "n_bytes", "source_crc32")), strict=True):
                 x = np.frombuffer(ids, "<u4").astype(np.int64)
-                rows.append((row, doc_id, k, n_bytes, len(x), int(x.sum()), int((x * np.arange(1, len(x) + 1)).sum()), zlib.crc32(spelled) == crc))
+                rows.append((row, doc_id, k, n_bytes, len(x), int(x.sum()), int((x * np.arange(1, len(x) + 1)).sum()), zlib.crc32(s.bytes_of(ids)) == crc))
             yield _rows(rows, fields)
 
-    told = decode(encode(docs, model, id_col, text_col, chunk), model).mapInArrow(digest, "row long, doc_id long, chunk int, n_bytes long, n long, total long, weighted long, same boolean")
+    told = _encoded(docs, model, id_col, text_col, chunk, digest, "row long, doc_id long, chunk int, n_bytes long, n long, total long, weighted long, same boolean")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         told.withColumn("before", before)
