@@ -29,9 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_join.near_classes(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    gone = classes.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return near_join.without_near_copies(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,13 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of local sessions, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="loomspark-")
+    return _local[app]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -63,5 +71,12 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs and a column that names each row: the id where ids are unique, else a number written down beside the rows."""
+    if docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where((F.col("__n") > 1) | F.col(id_col).isNull()).isEmpty():
+        return docs, id_col
+    return staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import staged, text_or_empty
+from loomspark.llm.common import keyed, staged, text_or_empty
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: A chunk ends at the first punctuation mark after MIN_CHUNK code points, or after MAX_CHUNK of them.
@@ -73,6 +73,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
-    dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    """docs with one row of each group of equal texts, all columns as they were: the row with the least id.
+
+    Where ids repeat or are null, rows are told apart by a number of their own; of equal rows one stays, and one with an id if
+    there is any.
+    """
+    rows, key = keyed(docs, id_col)
+    if key == id_col:
+        dropped = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__dropped"))
+    else:
+        named = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).alias("id"), F.col(key).alias("row")).alias("key"), F.col(text_col).alias("text"))
+        dropped = exact_dedup(named, "key", "text").where(~F.col("kept")).select(F.col("key.row").alias("__dropped"))
+    return rows.join(dropped, rows[key] == dropped["__dropped"], "left_anti").select(*docs.columns)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import discard, drop_shuffles, small, staged
+from loomspark.llm.common import discard, drop_shuffles, keyed, small, staged
 from loomspark.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -209,6 +209,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return linked.unionByName(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, all columns as they were: the row with the least id.
+
+    Rows without a shingle stay. Where ids repeat or are null, rows are told apart by a number of their own, and the one with
+    the least number stays.
+    """
+    rows, key = keyed(docs, id_col)
+    classes = near_classes(rows, key, text_col, words, percent)
+    gone = classes.where(F.col("component_id") != F.col(key)).select(F.col(key).alias("__gone"))
+    return rows.join(gone, rows[key] == gone["__gone"], "left_anti").select(*docs.columns)
+
+
 def arrays_of(texts: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """rep and its sorted shingle array, for the ends of pairs (a, b)."""
 

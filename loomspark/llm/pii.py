@@ -45,6 +45,7 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CONTEXT_CHARS, CONTEXT_BONUS, THRESHOLD = 40, 0.25, 0.5
 #: Characters after a match that can matter: the rest of an iban with a space before each character, a list, the context after it.
 AHEAD_CHARS = 60 + 60 + CONTEXT_CHARS
+AHEAD_MATCHES = AHEAD_CHARS // 3 + 2
 #: What may stand between two members of a list, and between a span and words after it; {0} are the words.
 LIST_GAP = r"^(?:\P{L}{0,40}|[^.;:!?\n]{0,40})$"
 WORDS_AFTER = r"^(?:[^\p{{L}}.;:!?\n]|\b(?:and|or)\b){{0,60}}+[^.;:!?\n0-9]{{0,40}}?(?:{0})(?!\w*\W{{0,5}}[0-9])"
@@ -142,6 +143,17 @@ def _iban_rest(head: Column, ahead: Column) -> Column:
 
 
 SPAN = "array<struct<kind:string,s:int,e:int,score:double>>"
+#: Items that are cut out of a text's matches, and whose results are gathered, together: slices and concatenations copy whole
+#: arrays, so one for each match would cost the square of their number.
+BLOCK = 256
+
+
+def _blocks(items: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / BLOCK).cast("int"))
+
+
+def _block(items: Column, k: Column, more: int = 0) -> Column:
+    return F.slice(items, k * BLOCK + 1, F.lit(BLOCK + more))
 
 
 def spans_of(kind: str, text: Column) -> Column:
@@ -150,8 +162,8 @@ def spans_of(kind: str, text: Column) -> Column:
     walked = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
     def ahead(walk: Column, at: Column) -> Column:
-        """The text after match number `at`; a match and the gap before it have three characters at least, or the gap is the first."""
-        parts = F.transform(F.slice(walk, at + 1, AHEAD_CHARS // 3 + 2), lambda x: F.concat(F.left(x["gap"], F.lit(AHEAD_CHARS)), F.coalesce(F.left(x["m"], F.lit(AHEAD_CHARS)), F.lit(""))))
+        """The text after match number `at` of a block; a match and the gap before it have three characters at least, or the gap is the first."""
+        parts = F.transform(F.slice(walk, at + 1, F.lit(AHEAD_MATCHES)), lambda x: F.concat(F.left(x["gap"], F.lit(AHEAD_CHARS)), F.coalesce(F.left(x["m"], F.lit(AHEAD_CHARS)), F.lit(""))))
         return F.left(F.array_join(parts, ""), F.lit(AHEAD_CHARS))
 
     def step(walk: Column, acc: Column, x: Column) -> Column:
@@ -181,8 +193,14 @@ def spans_of(kind: str, text: Column) -> Column:
         return F.when(x["m"].isNull(), acc).otherwise(_let(F.when(valid, _let(ahead(walk, acc["n"] + 1), judged)), moved))
 
     none = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("e"), F.lit(False).alias("near"), none.alias("found"))
-    all_spans = _let(walked, lambda walk: F.aggregate(walk, zero, lambda acc, x: step(walk, acc, x), lambda acc: acc["found"]))
+    def block(walk: Column, acc: Column, k: Column) -> Column:
+        kept = ("at", "e", "near")
+        start = F.struct(F.lit(0).alias("n"), *[acc[c].alias(c) for c in kept], none.alias("found"))
+        done = _let(_block(walk, k, AHEAD_MATCHES), lambda wide: F.aggregate(F.slice(wide, F.lit(1), F.lit(BLOCK)), start, lambda a, x: step(wide, a, x)))
+        return _let(done, lambda d: F.struct(*[d[c].alias(c) for c in kept], F.concat(acc["found"], F.array(d["found"])).alias("found")))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("e"), F.lit(False).alias("near"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    all_spans = _let(walked, lambda walk: F.aggregate(_blocks(walk), first, lambda acc, k: block(walk, acc, k), lambda acc: F.flatten(acc["found"])))
     may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(may, all_spans).otherwise(none)
 
@@ -201,13 +219,25 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     order = lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).when(a["e"] > b["e"], -1).when(a["e"] < b["e"], 1).otherwise(0)
     found = F.array_sort(F.concat(*[spans_of(k, text) for k in KINDS]), order)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("out"))
-        covered = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(covered)
+    none = F.array().cast("array<string>")
+
+    def block(acc: Column, some: Column) -> Column:
+        """The text from the last span's end to the end of this block's spans is cut once, and spans are replaced in that."""
+        stop = F.greatest(acc["at"], F.array_max(F.transform(some, lambda x: x["e"])))
+
+        def replaced(part: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                before = F.substr(part, a["at"] - acc["at"] + 1, x["s"] - a["at"])
+                fresh = F.struct(x["e"].alias("at"), F.concat(a["out"], F.array(before, F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))).alias("out"))
+                return F.when(x["s"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], x["e"]).alias("at"), a["out"].alias("out")))
+
+            return F.aggregate(some, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+
+        done = _let(F.substr(text, acc["at"] + 1, stop - acc["at"]), replaced)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(found, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    clean = _let(found, lambda spans: F.aggregate(_blocks(spans), start, lambda acc, k: _let(_block(spans, k), lambda some: block(acc, some)), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))))
     return docs.select(*[F.when(F.col(c).isNotNull(), clean).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 

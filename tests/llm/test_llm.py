@@ -111,6 +111,7 @@ def test_exact_dedup(docs, none):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_dedup(docs).collect()}
     assert got == {i: (min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in norm.items()}
     assert exact_dedup.exact_dedup(none).count() == 0
+    assert exact_dedup.without_copies(none).count() == 0
     assert exact_dedup.without_copies(docs).columns == docs.columns
     assert exact_dedup.without_copies(docs).count() == len(groups)
 
@@ -333,6 +334,19 @@ def test_pii(spark, docs, none):
     assert clean[10] == "mail me: <EMAIL> or <PHONE>, card <CARD> at <IP>"
 
 
+def test_pii_of_many_matches(spark):
+    """Twenty thousand spans in one text, in about linear time."""
+    import time
+
+    texts = [" ".join(f"u{k}@h{k}.example" for k in range(n)) for n in (10_000, 20_000)]
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[k].n_email for k in (0, 1)] == [10_000, 20_000]
+    clean = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.text for r in clean] == [" ".join(["<EMAIL>"] * n) for n in (10_000, 20_000)]
+    assert time.time() - began < 60
+
+
 PII_FOUND = [
     ("SSN: " + ", ".join(f"{123 + k}-45-{6789 + k}" for k in range(12)) + ".", ["ssn"] * 12),
     ("ssn 123-45-6789 and also 234-56-7890; id 345-67-8901", ["ssn"] * 2),
