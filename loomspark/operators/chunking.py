@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,36 +87,40 @@ def section_paths(elements: DataFrame) -> DataFrame:
 def chunks(elements: DataFrame, target: int = 600) -> DataFrame:
     """Neighbouring elements packed until `target` characters are reached; a heading begins a new chunk and names its section.
 
-    doc_id, chunk, section_path, text, element_ids. One document is packed in one task, element by element.
+    doc_id, chunk, section_path, text, element_ids. A chunk's text begins with the last two parts of its section in brackets.
+    Images and figures stay only where a `caption` column has one for them. Sections are told apart by window functions and
+    numbered each on its own; only within a section does a chunk's end depend on the one before.
     """
-
-    def pack(df: pd.DataFrame) -> pd.DataFrame:
-        out, held, size, crumbs = [], [], 0, []
-
-        def flush() -> None:
-            nonlocal held, size
-            if held:
-                body = "\n".join(t for _, t in held)
-                prefix = " > ".join(crumbs[-2:])
-                out.append((df["doc_id"].iloc[0], len(out), " > ".join(crumbs), f"[{prefix}] {body}" if prefix else body, [str(i) for i, _ in held]))
-            held, size = [], 0
-
-        for r in df.sort_values("pos").itertuples(index=False):
-            text = (r.text or "").strip()
-            if r.element_type == "heading":
-                flush()
-                crumbs = [c.strip() for c in (r.section_path or text).split(" > ") if c.strip()]
-            elif text and r.element_type not in ("image", "figure"):
-                held.append((r.pos, text))
-                size += len(text)
-                if size >= target:
-                    flush()
-        flush()
-        return pd.DataFrame(out, columns=["doc_id", "chunk", "section_path", "text", "element_ids"])
-
-    rows = elements if "section_path" in elements.columns else elements.withColumn("section_path", F.lit(None).cast("string"))
-    kind = elements.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "pos", "element_type", "text", "section_path").groupBy("doc_id").applyInPandas(pack, f"doc_id {kind}, chunk int, section_path string, text string, element_ids array<string>")
+    blank = F.lit(None).cast("string")
+    rows = elements.select("doc_id", "pos", "element_type", F.trim(F.coalesce("text", F.lit(""))).alias("text"), *[(F.col(c) if c in elements.columns else blank).alias(c) for c in ("section_path", "caption")])
+    in_order = Window.partitionBy("doc_id").orderBy("pos")
+    heading = F.col("element_type") == "heading"
+    named = lambda path: F.filter(F.transform(F.split(path, " > "), lambda part: F.trim(part)), lambda part: part != "")
+    own = F.when(heading, F.when(F.size(named(F.coalesce("section_path", F.lit("")))) > 0, named("section_path")).otherwise(F.array("text")))
+    placed = rows.withColumns({"section": F.sum(heading.cast("int")).over(in_order), "parts": F.coalesce(F.last(own, True).over(in_order), F.array().cast("array<string>"))})
+    pictures = F.col("element_type").isin("image", "figure") & (F.coalesce("caption", F.lit("")) == "")
+    body = placed.where(~heading & ~pictures & (F.col("text") != "")).select("doc_id", "section", "parts", "pos", "text", F.length("text").alias("size"))
+
+    def number(section: pd.DataFrame) -> pd.DataFrame:
+        section = section.sort_values("pos")
+        reach = section["size"].cumsum().to_numpy()
+        ends = [np.searchsorted(reach, target)]
+        while ends[-1] < len(reach):
+            ends.append(np.searchsorted(reach, reach[ends[-1]] + target))
+        return section.assign(nth=np.searchsorted(ends, np.arange(len(reach))))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema)
+    numbered = body.groupBy("doc_id", "section").applyInPandas(number, schema + ", nth long")
+    packed = numbered.groupBy("doc_id", "section", "nth").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("items"))
+    prefix = F.array_join(F.slice("parts", F.greatest(F.size("parts") - 1, F.lit(1)), F.lit(2)), " > ")
+    text = F.array_join(F.transform("items", lambda x: x["text"]), "\n")
+    return packed.select(
+        "doc_id",
+        (F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "nth")) - 1).cast("int").alias("chunk"),
+        F.array_join("parts", " > ").alias("section_path"),
+        F.when(prefix == "", text).otherwise(F.concat(F.lit("["), prefix, F.lit("] "), text)).alias("text"),
+        F.transform("items", lambda x: x["pos"].cast("string")).alias("element_ids"),
+    )
 
 
 def windows(docs: DataFrame, size: int = 9000, overlap: int = 450, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.session import shared_dir
+
 # Edge types, the object types they may lead from and to, and which are symmetric or transitive.
 NODE_TYPES = ("concept", "claim", "formula", "procedure")
 EDGE_PAIRS = {
-    "about": "claim>concept formula>concept",
-    "composed_of": "concept>concept",
-    "contrasts_with": "concept>concept concept>claim concept>formula claim>concept claim>claim claim>formula formula>concept formula>claim formula>formula",
-    "defines": "claim>concept",
-    "depends_on": "concept>concept concept>claim concept>formula concept>procedure claim>concept claim>claim claim>formula claim>procedure formula>concept formula>claim formula>formula formula>procedure",
-    "derived_from": "claim>claim claim>formula formula>claim formula>formula",
-    "kind_of": "concept>concept",
-    "part_of": "concept>concept",
-    "precedes": "claim>claim formula>formula procedure>procedure",
-    "prerequisite_of": "concept>concept concept>claim claim>concept claim>claim",
-    "supports": "concept>claim claim>claim formula>claim",
-    "used_in": "concept>procedure formula>procedure",
+    "about": (("claim", "concept"), ("formula", "concept"),),
+    "composed_of": (("concept", "concept"),),
+    "contrasts_with": (("concept", "concept"), ("concept", "claim"), ("concept", "formula"), ("claim", "concept"), ("claim", "claim"), ("claim", "formula"), ("formula", "concept"), ("formula", "claim"), ("formula", "formula"),),
+    "defines": (("claim", "concept"),),
+    "depends_on": (("concept", "concept"), ("concept", "claim"), ("concept", "formula"), ("concept", "procedure"), ("claim", "concept"), ("claim", "claim"), ("claim", "formula"), ("claim", "procedure"), ("formula", "concept"), ("formula", "claim"), ("formula", "formula"), ("formula", "procedure"),),
+    "derived_from": (("claim", "claim"), ("claim", "formula"), ("formula", "claim"), ("formula", "formula"),),
+    "kind_of": (("concept", "concept"),),
+    "part_of": (("concept", "concept"),),
+    "precedes": (("claim", "claim"), ("formula", "formula"), ("procedure", "procedure"),),
+    "prerequisite_of": (("concept", "concept"), ("concept", "claim"), ("claim", "concept"), ("claim", "claim"),),
+    "supports": (("concept", "claim"), ("claim", "claim"), ("formula", "claim"),),
+    "used_in": (("concept", "procedure"), ("formula", "procedure"),),
 }
 SYMMETRIC, TRANSITIVE = ("contrasts_with",), ("derived_from", "kind_of", "part_of", "precedes", "prerequisite_of")
 
@@ -30,18 +31,14 @@ SYMMETRIC, TRANSITIVE = ("contrasts_with",), ("derived_from", "kind_of", "part_o
 def _staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, so that a loop's lineage stays short."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/graph/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def contract(spark: SparkSession) -> DataFrame:
     """edge_type, src_type, dst_type of every permitted pair."""
-    return spark.createDataFrame([(e, *p.split(">")) for e, pairs in EDGE_PAIRS.items() for p in pairs.split()], "edge_type string, src_type string, dst_type string")
+    return spark.createDataFrame([(e, *p) for e, pairs in EDGE_PAIRS.items() for p in pairs], "edge_type string, src_type string, dst_type string")
 
 
 def with_types(relations: DataFrame, nodes: DataFrame) -> DataFrame:

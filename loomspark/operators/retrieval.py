@@ -100,14 +100,24 @@ def per_type_top(scored: DataFrame, limits: dict[str, int] = TYPE_LIMITS, floor:
     return ranked.where(F.col("rank") <= limit)
 
 
-def trigram_recall(docs: DataFrame, terms: DataFrame, n: int = 3) -> DataFrame:
-    """(term, doc_id) where the text holds the term, found by its n-grams and confirmed on the text."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda k: F.substr(c, k, F.lit(n))))
-    asked = terms.where(F.length("term") >= n).select("term", F.explode(grams(F.lower("term"))).alias("gram"))
-    need = asked.groupBy("term").agg(F.count(F.lit(1)).alias("need"))
-    listed = docs.select("doc_id", F.explode(grams(F.lower("text"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi")
-    met = listed.join(asked, "gram").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("have")).join(need, "term").where("have = need")
-    return met.join(docs, "doc_id").where(F.contains(F.lower("text"), F.lower("term"))).select("term", "doc_id")
+#: Query terms that are looked for in one pass over the texts.
+FEW_TERMS = 1000
+
+
+def trigram_recall(docs: DataFrame, terms: DataFrame, n: int = 3, few: int = FEW_TERMS) -> DataFrame:
+    """(term, doc_id) where the text holds the term (of n characters or more), capitals and small letters being the same.
+
+    Up to `few` terms are a query set: they are sent to the texts, and one scan answers all. More terms meet the texts by an
+    n-gram each, cut from a text in one pass; texts travel only to confirm what shares a gram.
+    """
+    asked = terms.where(F.length("term") >= n).select("term", F.lower("term").alias("__asked")).distinct()
+    texts = docs.select("doc_id", F.lower("text").alias("__text"))
+    if len(asked.limit(few + 1).take(few + 1)) <= few:
+        return texts.join(F.broadcast(asked), F.contains("__text", "__asked")).select("term", "doc_id")
+    grams = F.array_distinct(F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    by_gram = asked.withColumn("gram", F.left("__asked", F.lit(n)))
+    listed = texts.select("doc_id", F.explode(grams).alias("gram")).join(by_gram, "gram").select("doc_id", "term", "__asked")
+    return listed.join(texts, "doc_id").where(F.contains("__text", "__asked")).select("term", "doc_id").distinct()
 
 
 def knn_pairs(rows: DataFrame, k: int, least: float, blocks: int = 16) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from loomspark.operators import chunking, entities, evaluation, graph, relationa
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _TYPED
-from loomspark.session import table
+from loomspark.session import shared_dir, table
 from loomspark.streaming import changes
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
@@ -443,8 +442,7 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, build, mode: str = "complete") -> DataFrame:
     """Runs a stream over the events table to its end and returns the rows of its sink."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-")
-    source = f"{folder}/stream/{uuid.uuid4().hex}"
+    source = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
     events = table(spark, d, "events")
     events.write.parquet(f"{source}/in")
     name = f"s{uuid.uuid4().hex}"
@@ -465,10 +463,10 @@ def w09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w10_versioned_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-")
-    source = f"{folder}/stream/{uuid.uuid4().hex}"
+    source = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
     events = table(spark, d, "events").select("user_id", "event_id", "event_type")
     events.repartition(3).write.parquet(f"{source}/in")
     q = changes.upsert_into(changes.followed(spark, f"{source}/in", "user_id long, event_id long, event_type string"), f"{source}/out", ["user_id"], "event_id", f"{source}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{source}/out/version=2").select("user_id", "event_id")
+    versions = spark.read.parquet(f"{source}/out")
+    return versions.where(F.col("version") == versions.agg(F.max("version")).first()[0]).select("user_id", "event_id")

@@ -205,7 +205,7 @@ def d13(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").join(have, "p_partkey", "left").groupBy("p_brand").agg(F.max(F.when(F.col("have").isNull(), 1).otherwise(0)).alias("dirty"))
 
 
-_VALID = " OR ".join(f"(edge_type = '{e}' AND src_type || '>' || dst_type IN ({', '.join(repr(p) for p in pairs.split())}))" for e, pairs in graph.EDGE_PAIRS.items())
+_VALID = " OR ".join(f"(edge_type = '{e}' AND src_type || '>' || dst_type IN ({', '.join(repr('>'.join(p)) for p in pairs)}))" for e, pairs in graph.EDGE_PAIRS.items())
 _TYPED = shapes.with_("nodes", "relations") + f", typed AS (SELECT r.*, a.object_type AS src_type, b.object_type AS dst_type, a.name AS src_name, b.name AS dst_name FROM relations r LEFT JOIN nodes a ON a.id = src LEFT JOIN nodes b ON b.id = dst), checked AS (SELECT *, coalesce({_VALID}, FALSE) AS valid FROM typed) "
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +12,12 @@ from loomspark.functions import vectors as V
 from loomspark.operators import chunking, relational
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
-from loomspark.session import table
+from loomspark.session import shared_dir, table
 from loomspark.sources import files
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/scratch/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
 
 
 @query("a01_parser_routing", r"""SELECT CASE WHEN regexp_matches(path, '\.(html?)$') THEN 'text' WHEN regexp_matches(path, '\.pdf$') THEN 'pdf' WHEN regexp_matches(path, '\.md$') THEN 'markdown' WHEN regexp_matches(path, '\.csv$') THEN 'csv' ELSE 'text' END AS parser, count(*) AS n
@@ -163,21 +158,7 @@ def b06(spark: SparkSession, d: str) -> DataFrame:
 def b07(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_size") % 6
     code = F.when(k == 0, F.substring("p_name", 1, 2)).when(k == 1, (F.col("p_partkey") + 100).cast("string")).when(k == 2, F.concat(F.lit("Table "), F.col("p_size").cast("string"))).when(k == 3, "1.2 Name").when(k == 4, F.concat(F.lit("R"), (F.col("p_size") + 10).cast("string"))).otherwise("x^2")
-    return table(spark, d, "part").withColumn("code", code).select("p_partkey", noise_reason(F.col("code"), F.col("p_name").isin("red widget")).alias("reason"))
-
-
-def noise_reason(name, listed):
-    """Why a concept name is noise, or an empty text; listed names never are."""
-    return (
-        F.when(listed, "")
-        .when(F.length(name) <= 2, "too_short")
-        .when(name.rlike(r"^\d+$"), "pure_number")
-        .when(name.rlike(r"(?i)^(fig|figure|table|eq|equation|sec|section|§)\b"), "reference")
-        .when(name.rlike(r"^\d+(\.\d+)+\s+[A-Z]"), "section_heading")
-        .when(~F.contains(name, F.lit(" ")) & F.contains(name, F.lit("^")), "symbol")
-        .when(name.rlike(r"^[A-Za-z]\d+$"), "instance_label")
-        .otherwise("")
-    )
+    return table(spark, d, "part").withColumn("code", code).select("p_partkey", T.noise_reason(F.col("code"), F.col("p_name").isin("red widget")).alias("reason"))
 
 
 @query("b08_meta_narrative", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\b(this (chapter|section|paper|book)|licensed under)\b')")

@@ -79,6 +79,44 @@ def test_chunks_and_sections(spark):
     assert got[2].text == "[2.1 > Notes] end"
 
 
+def test_chunks_keep_captioned_pictures(spark):
+    rows = [(1, 0, "paragraph", "before", None), (1, 1, "heading", "A", None), (1, 2, "image", "plot", "a plot"), (1, 3, "figure", "bare", ""), (1, 4, "paragraph", "  ", None), (1, 5, "paragraph", "ab", None), (2, 0, "heading", "only", None)]
+    elements = spark.createDataFrame(rows, "doc_id int, pos int, element_type string, text string, caption string")
+    got = [tuple(r) for r in chunking.chunks(elements, 5).orderBy("chunk").collect()]
+    assert got == [(1, 0, "", "before", ["0"]), (1, 1, "A", "[A] plot\nab", ["2", "5"])]
+    assert chunking.chunks(elements.limit(0)).count() == 0
+
+
+def test_chunk_ends(spark):
+    """Against element by element packing."""
+    import random
+
+    random.seed(2)
+    sizes = [random.randint(1, 40) for _ in range(200)]
+    want, held, size = [], [], 0
+    for k, n in enumerate(sizes):
+        held, size = [*held, str(k)], size + n
+        if size >= 60:
+            want, held, size = [*want, held], [], 0
+    want += [held] if held else []
+    got = chunking.chunks(spark.createDataFrame([(7, k, "paragraph", "x" * n) for k, n in enumerate(sizes)], "doc_id int, pos int, element_type string, text string"), 60)
+    assert [r.element_ids for r in got.orderBy("chunk").collect()] == want
+
+
+def test_noise_reasons(spark):
+    names = {"ab": "too_short", "1234": "pure_number", "Fig. 3": "reference", "figures of speech": "", "§4 x": "reference", "2.1 Methods": "section_heading", "0.8 micron": "", "x^2": "symbol", "V_DD": "symbol", "set_db": "", "R12": "instance_label", "x_0": "symbol", "gain": ""}
+    got = spark.createDataFrame([(n,) for n in names], "name string").select("name", T.noise_reason(F.col("name"), F.lit(False)).alias("reason")).collect()
+    assert {r["name"]: r.reason for r in got} == names
+
+
+def test_term_recall_by_grams(spark):
+    docs = spark.createDataFrame([(1, "The License\nof all"), (2, "nothing"), (3, None)], "doc_id int, text string")
+    terms = spark.createDataFrame([("license",), ("E\nO",), ("no",), ("all",)], "term string")
+    want = {("license", 1), ("E\nO", 1), ("all", 1)}
+    assert {tuple(r) for r in retrieval.trigram_recall(docs, terms).collect()} == want
+    assert {tuple(r) for r in retrieval.trigram_recall(docs, terms, few=0).collect()} == want
+
+
 def test_markdown_blocks(spark):
     text = "# Title\n\npara one\nstill one\n\n- a\n- b\n\n| x | y |\n|---|---|\n| 1 | 2 |\n\n![i](data:image/png;base64,AA)\n\n```\ncode\n\nmore\n```\n> quote"
     got = chunking.markdown_blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("pos").collect()
