@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import discard, staged
+from loomspark.llm.common import discard, small, staged
 from loomspark.llm.token_counts import MARK, PRE_TOKEN
 
 CHUNK, LONGEST = 16_384, 16
@@ -340,10 +340,11 @@ def _encoded(docs: DataFrame, model: str, id_col: str, text_col: str, chunk: int
                 yield _rows(rows, _ENCODED)
 
     giant = F.length("text") >= chunk
-    parts = staged(texts.where(giant).mapInArrow(cut(False), "row long, doc_id long, chunk int, base int, left int, right int, part string, first boolean, last boolean"), "parts")
-    spread = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    matrices = staged(parts.repartition(spread, "row", "chunk").mapInArrow(transfer, _NODE), "matrices")
-    states = staged(combined(matrices), "states")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cuts = texts.where(giant).mapInArrow(cut(False), "row long, doc_id long, chunk int, base int, left int, right int, part string, first boolean, last boolean")
+    parts = staged(cuts.repartition(spread, "row", "chunk"), "parts")
+    matrices = staged(parts.mapInArrow(transfer, _NODE), "matrices")
+    states = small(staged(combined(matrices), "states"))
     discard(matrices)
     long_texts = parts.join(states.withColumnRenamed("node", "chunk").withColumn("chunk", F.col("chunk").cast("int")), ["row", "chunk"]).mapInArrow(lambda batches: then(trace(batches)), schema)
     whole = cut(True)
