@@ -45,7 +45,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic", (F.col("toxic") * (1 - F.col("quality"))).alias("toxic_junk"))
-    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), labels, ["toxic", "toxic_junk"])
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), labels, ["toxic_junk", "toxic"])
     return scored.withColumn("toxic", (F.col("p_toxic") >= 0.5).cast("int"))
 
 

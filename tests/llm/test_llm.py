@@ -443,6 +443,30 @@ def test_toxicity_held_out(spark):
     assert sum((r.p_toxic >= 0.5) == (r.toxic == 1) for r in rows) >= 0.9 * len(rows)
 
 
+def test_toxicity_chain_equals_a_plain_one():
+    rng = np.random.default_rng(3)
+    x = (rng.random((90, 6)) < 0.4).astype(np.float32)
+    y = np.stack([x[:, 0], np.maximum(x[:, 0] * x[:, 1], x[:, 2])], 1).astype(np.float32)
+    y[::7, 0] = np.nan
+    fold = np.arange(90) % 3
+    got = toxicity.fit_chain(x, y, fold)
+    ok = ~np.isnan(y[:, 0])
+    first = toxicity._logistic(x[ok], y[ok, 0])
+    seen = np.zeros(90, np.float32)
+    for f in range(3):
+        seen[fold == f] = toxicity._probability(x[fold == f], toxicity._logistic(x[ok & (fold != f)], y[ok & (fold != f), 0]))
+    second = toxicity._logistic(np.hstack([x, seen[:, None]]), y[:, 1])
+    np.testing.assert_allclose(got[0], first, atol=1e-6)
+    np.testing.assert_allclose(got[1], second, atol=1e-6)
+    p = toxicity.chain_probabilities(x, got)
+    np.testing.assert_allclose(p[:, 1], toxicity._probability(np.hstack([x, toxicity._probability(x, first)[:, None].astype(np.float32)]), second), atol=1e-5)
+
+
+def test_toxicity_null_labels(spark, docs):
+    labels = spark.createDataFrame([(k, None if k % 2 else 1, k % 2) for k in range(40)], "doc_id long, a int, b int")
+    assert toxicity.score_documents(docs, labels, ["a", "b"]).where("p_a IS NULL OR p_b IS NULL").count() == 0
+
+
 def test_toxicity_edges(spark, docs, none):
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert {round(r.p_toxic, 6) for r in toxicity.score_documents(docs, no_labels, ["toxic"]).collect()} == {0.5}
