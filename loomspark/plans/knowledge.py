@@ -28,9 +28,9 @@ def r00(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.cosine_top(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), 10, "vec_id")
 
 
-@query("f02_all_similarities", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding[1:32] AS DOUBLE[]), (SELECT CAST(embedding[1:32] AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings")
+@query("f02_all_similarities", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings")
 def f02(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.cosine_top(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), None, "vec_id", cut=32)
+    return retrieval.cosine_top(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), None, "vec_id")
 
 
 @query("r01_keyword_coverage", f"WITH q AS (SELECT {_WORDS.format('text')} AS w FROM benchmark WHERE item_id = 0) SELECT doc_id, round(len(list_intersect(w, {_WORDS.format('text')})) * 1.0 / len(w), 6) AS coverage FROM documents, q")

@@ -86,9 +86,9 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     return days.where("day BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'").groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a11_log_tail", "SELECT event_id, event_type FROM events WHERE event_id < 900 ORDER BY event_id DESC LIMIT 50")
+@query("a11_log_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 50")
 def a11(spark: SparkSession, d: str) -> DataFrame:
-    return files.tail(table(spark, d, "events"), "event_id", 50, before=900).select("event_id", "event_type")
+    return files.tail(table(spark, d, "events"), "event_id", 50).select("event_id", "event_type")
 
 
 @query("a12_matrix_scan", "SELECT vec_id, round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 5) AS square, len(embedding[1:16]) AS dims FROM embeddings WHERE len(embedding) = 64")
