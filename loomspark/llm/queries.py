@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, media, near_join, packing, pieces, pii, quality, repeats, token_counts, toxicity
+from loomspark.llm import divergence, exact_dedup, media, near_join, packing, pieces, pii, quality, repeats, token_counts, toxicity
 from loomspark.llm.common import table
 
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_media": op10_media,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +84,30 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             groups AS (SELECT DISTINCT lang, source FROM d),
+             w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+             langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS n_lang FROM kept GROUP BY lang),
+             used AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+             totals AS (SELECT lang, source, sum(n)::HUGEINT AS n_group FROM used GROUP BY lang, source),
+             dense AS (SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS count,
+                              1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 1)) // (coalesce(t.n_group, 0) + l.v) AS p,
+                              1 + (1000000000::HUGEINT * (k.n + 1)) // (l.n_lang + l.v) AS q
+                       FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+                       LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term
+                       LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+             sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+                      FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+                       FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                       LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+             terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM dense WHERE count > 0 AND p > q),
+             ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+                        UNION ALL
+                        SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
