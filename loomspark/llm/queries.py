@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import divergence, exact_dedup, media, near_join, packing, pieces, pii, quality, ranked_search, repeats, token_counts, toxicity
+from loomspark.llm import chunked_bpe, divergence, exact_dedup, media, near_join, packing, pieces, pii, quality, ranked_search, repeats, token_counts, toxicity
 from loomspark.llm.common import table
 
 PIECE_MODEL, WORD_MODEL = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.encoding_report(table(spark, sf_dir, "documents"), WORD_MODEL)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_media": op10_media,
     "op11_ranked_search": op11_ranked_search,
+    "op12_bpe_encoding": op12_bpe_encoding,
     "op13_source_divergence": op13_source_divergence,
 }
 
