@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions import vectors as V
-from loomspark.operators import chunking, entities, evaluation, graph, relational, retrieval
+from loomspark.operators import chunking, entities, evaluation, graph, mentions, relational, retrieval
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _TYPED
@@ -250,10 +250,43 @@ def y05(spark: SparkSession, d: str) -> DataFrame:
     return graph.canonical_relations(shapes.relations(spark, d), clusters).select("src", "edge_type", "dst", "support_count", "source_count", F.col("sample_ids")[0].alias("first_id"))
 
 
-@query("y06_mention_edges", r"WITH a AS (SELECT unnest(['idiot', 'license', 'the']) AS alias, unnest([1, 2, 3]) AS id) SELECT DISTINCT doc_id AS text_id, id FROM documents, a WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || alias || '($|[^a-z0-9])')")
+#: Names of things: every part's, and a phrase and an abbreviation from each benchmark item, which documents do hold.
+_NAMED = r"""n AS (SELECT p_partkey AS id, lower(p_name) AS alias FROM part UNION ALL
+    SELECT 1000000 + item_id, unnest([lower(regexp_extract(text, '^(\S+ \S+)', 1)), lower(regexp_extract(text, '([A-Za-z]{3,8})\W*$', 1))]) FROM benchmark),
+    a AS (SELECT DISTINCT id, alias FROM n WHERE length(alias) >= 3)"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    phrase, last = F.regexp_extract("text", r"^(\S+ \S+)", 1), F.regexp_extract("text", r"([A-Za-z]{3,8})\W*$", 1)
+    items = table(spark, d, "benchmark").select((F.lit(1000000) + F.col("item_id")).alias("id"), F.explode(F.array(phrase, last)).alias("alias"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("alias")).unionByName(items).where(F.length("alias") >= 3)
+
+
+_HITS = rf"WITH {_NAMED}, u AS (SELECT DISTINCT alias FROM a), t AS (SELECT doc_id AS text_id, lower(text) AS text FROM documents), h AS (SELECT text_id, alias FROM t, u WHERE contains(text, alias) AND regexp_matches(text, '(^|[^a-zA-Z0-9])' || regexp_escape(alias) || '($|[^a-zA-Z0-9])'))"
+
+
+@query("y06_mention_edges", _HITS + ", g AS (SELECT alias FROM h GROUP BY 1 HAVING count(*) > greatest(5, 0.02 * (SELECT count(*) FROM documents))) SELECT DISTINCT text_id, id FROM h JOIN a USING (alias) WHERE alias NOT IN (SELECT alias FROM g)")
 def y06(spark: SparkSession, d: str) -> DataFrame:
-    aliases = spark.createDataFrame([(1, "idiot"), (2, "license"), (3, "the")], "id int, alias string")
-    return entities.mentions_by_token(aliases, table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return mentions.mention_edges(_named(spark, d), texts, share=0.02, floor=5)
+
+
+_BRIDGE = r"""WITH c AS (SELECT item_id % 20 AS id, item_id % 3 AS source_id, regexp_extract(text, '^(\S+ \S+)', 1) AS head, upper(regexp_extract(text, '([A-Za-z]{3,8})\W*$', 1)) AS short FROM benchmark),
+    k AS (SELECT id FROM c GROUP BY 1 HAVING count(DISTINCT source_id) >= 2),
+    a AS (SELECT DISTINCT id, alias FROM (SELECT id, lower(head) AS alias FROM c WHERE length(head) >= 4 UNION ALL SELECT id, lower(short) FROM c WHERE short <> '') WHERE id IN (SELECT id FROM k)),
+    t AS (SELECT conv_id * 1000 + turn AS text_id, lower(text) AS text FROM conversations), u AS (SELECT DISTINCT alias FROM a),
+    h AS (SELECT DISTINCT text_id, alias FROM t, u WHERE contains(text, alias) AND regexp_matches(text, '(^|[^a-zA-Z0-9])' || regexp_escape(alias) || '($|[^a-zA-Z0-9])')),
+    g AS (SELECT alias FROM h GROUP BY 1 HAVING count(*) > greatest(20, 0.02 * (SELECT count(*) FROM conversations))),
+    e AS (SELECT DISTINCT text_id, id FROM h JOIN a USING (alias) WHERE alias NOT IN (SELECT alias FROM g))"""
+
+
+@query("k17_mention_bridge", _BRIDGE + " SELECT x.id AS a, y.id AS b, count(*) AS together FROM e x JOIN e y ON x.text_id = y.text_id AND x.id < y.id GROUP BY 1, 2")
+def k17(spark: SparkSession, d: str) -> DataFrame:
+    head, short = F.regexp_extract("text", r"^(\S+ \S+)", 1), F.upper(F.regexp_extract("text", r"([A-Za-z]{3,8})\W*$", 1))
+    named = F.when(short == "", head).otherwise(F.concat(head, F.lit(" ("), short, F.lit(")")))
+    concepts = table(spark, d, "benchmark").select((F.col("item_id") % 20).alias("id"), named.alias("name"), (F.col("item_id") % 3).alias("source_id"))
+    claims = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), "text")
+    return mentions.mention_bridge(concepts, claims, 0.02, 20)[1]
 
 
 @query("y07_co_mentions", "WITH m AS (SELECT DISTINCT l_orderkey AS text_id, l_suppkey AS id FROM lineitem), f AS (SELECT text_id FROM m GROUP BY 1 HAVING count(*) <= 6) SELECT x.id AS a, y.id AS b, count(*) AS together FROM m x JOIN m y ON x.text_id = y.text_id AND x.id < y.id WHERE x.text_id IN (SELECT text_id FROM f) GROUP BY 1, 2")
