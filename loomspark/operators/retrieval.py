@@ -120,12 +120,18 @@ def trigram_recall(docs: DataFrame, terms: DataFrame, n: int = 3, few: int = FEW
     return listed.join(texts, "doc_id").where(F.contains("__text", "__asked")).select("term", "doc_id").distinct()
 
 
-def knn_pairs(rows: DataFrame, k: int, least: float, blocks: int = 16) -> DataFrame:
+#: Rows of a block of `knn_pairs`; two blocks meet in a task.
+BLOCK_ROWS = 4000
+
+
+def knn_pairs(rows: DataFrame, k: int, least: float, blocks: int | None = None) -> DataFrame:
     """Unordered pairs (a, b, score) where one is among the other's k nearest rows (id, vector) at cosine `least` or more.
 
     Exact, block by block: every row is sent to the block pairs it takes part in and each pair of blocks is one matrix
-    product, so a task holds two blocks and no pair is made that fails the bound.
+    product, so a task holds two blocks and no pair is made that fails the bound. Without `blocks` there are as many as keep
+    them at BLOCK_ROWS; `vector_index.synonym_edges` is the way for tables where all pairs are too many.
     """
+    blocks = blocks or max(1, -(-rows.count() // BLOCK_ROWS))
     placed = rows.select("id", unit(F.col("vector")).alias("v"), F.pmod(F.hash("id"), F.lit(blocks)).alias("block"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(x, F.col("block")).alias("p"), F.greatest(x, F.col("block")).alias("q")))
     dealt = placed.select("id", "v", "block", F.explode(cells).alias("cell")).select("cell.p", "cell.q", "id", "v", "block")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import chunking, entities, graph, relational, retrieval
+from loomspark.operators import chunking, entities, graph, relational, retrieval, vector_index
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.session import table
@@ -125,7 +125,16 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS rn FROM s WHERE round(score, 9) >= 0.3) SELECT DISTINCT least(id, other) AS a, greatest(id, other) AS b, round(round(score, 6), 4) AS score FROM r WHERE rn <= 5""")
 def c17(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return retrieval.knn_pairs(rows, 5, 0.3, 4).withColumn("score", F.round("score", 4))
+    return retrieval.knn_pairs(rows, 5, 0.3).withColumn("score", F.round("score", 4))
+
+
+@query("k10_vector_index", "SELECT count(*) AS queries, true AS at_least_90 FROM embeddings WHERE vec_id % 100 = 0")
+def k10(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is indexed; rows whose id is divisible by 100 ask, and the exact way tells how much was found."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked, index = rows.where("id % 100 = 0"), vector_index.fit(rows)
+    found = vector_index.search(vector_index.build(rows, index), index, rows, asked, 10)
+    return vector_index.recall(found, vector_index.exact_neighbours(rows, asked, 10)).select("queries", (F.col("recall") >= 0.9).alias("at_least_90"))
 
 
 @query("c18_identity_map", "SELECT s_suppkey AS left_id, s_suppkey AS right_id, CASE WHEN s_suppkey % 2 = 0 THEN 'exact' ELSE 'folded' END AS how FROM supplier WHERE s_suppkey % 5 <> 0")
