@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.session import shared_dir
+from loomspark.session import discard, staged
 
 # Edge types, the object types they may lead from and to, and which are symmetric or transitive.
 NODE_TYPES = ("concept", "claim", "formula", "procedure")
@@ -28,14 +26,6 @@ EDGE_PAIRS = {
 SYMMETRIC, TRANSITIVE = ("contrasts_with",), ("derived_from", "kind_of", "part_of", "precedes", "prerequisite_of")
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back, so that a loop's lineage stays short."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def contract(spark: SparkSession) -> DataFrame:
     """edge_type, src_type, dst_type of every permitted pair."""
     return spark.createDataFrame([(e, *p) for e, pairs in EDGE_PAIRS.items() for p in pairs], "edge_type string, src_type string, dst_type string")
@@ -119,19 +109,21 @@ def ranking_graph(relations: DataFrame) -> DataFrame:
 def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 10) -> DataFrame:
     """Personalised PageRank of (u, v, weight) from seeds (id, weight): id and score.
 
-    Mass of nodes without edges goes back to the seeds. Each round is one join and one aggregate with map-side combine; scores
-    are written to the shared folder every round.
+    Mass of nodes without edges goes back to the seeds. Each round is one join and one aggregate with map-side combine; what moved
+    is written to the shared folder every round. `push_rank` runs to a tolerance instead of a number of rounds.
     """
     total = F.sum("weight").over(Window.partitionBy())
-    reset = _staged(seeds.groupBy("id").agg(F.sum("weight").alias("weight")).withColumn("r", F.col("weight") / total).select("id", "r"), "reset")
+    reset = staged(seeds.groupBy("id").agg(F.sum("weight").alias("weight")).withColumn("r", F.col("weight") / total).select("id", "r"), "reset")
     out = edges.groupBy("u").agg(F.sum("weight").alias("out"))
-    shares = _staged(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")), "shares")
-    score = reset.select("id", F.col("r").alias("score"))
+    shares = staged(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")), "shares")
+    score, moved = reset.select("id", F.col("r").alias("score")), None
     for _ in range(rounds):
-        moved = shares.join(score.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("m"))
-        held = moved.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("held"))
-        back = reset.crossJoin(F.broadcast(held)).select("id", (F.col("r") * (1 - damping * F.col("held"))).alias("b"))  # one row
-        score = _staged(moved.select("id", (damping * F.col("m")).alias("part")).unionByName(back.select("id", F.col("b").alias("part"))).groupBy("id").agg(F.sum("part").alias("score")), "score")
+        before = moved
+        moved = staged(shares.join(score.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("share") * F.col("score")).alias("m")), "moved")
+        held = moved.agg(F.sum("m")).head()[0] or 0.0
+        score = moved.select("id", (damping * F.col("m")).alias("part")).unionByName(reset.select("id", (F.col("r") * (1 - damping * held)).alias("part"))).groupBy("id").agg(F.sum("part").alias("score"))
+        if before is not None:
+            discard(before)
     return score
 
 
@@ -139,10 +131,11 @@ def bounded_search(edges: DataFrame, start: DataFrame, depth: int, fan_out: int)
     """Nodes within `depth` hops of start (id), each node following its first `fan_out` edges (src, dst, edge_type, id) in order: id, hop."""
     first = F.row_number().over(Window.partitionBy("src").orderBy("edge_type", "id"))
     followed = edges.withColumn("rn", first).where(F.col("rn") <= fan_out).select("src", "dst")
-    seen = start.select("id", F.lit(0).alias("hop")).distinct()
+    seen = staged(start.select("id", F.lit(0).alias("hop")).distinct(), "seen")
     for hop in range(1, depth + 1):
         near = seen.where(F.col("hop") == hop - 1).join(followed, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        seen = _staged(seen.unionByName(near.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"))), "seen")
+        before, seen = seen, staged(seen.unionByName(near.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"))), "seen")
+        discard(before)
     return seen
 
 
@@ -156,27 +149,32 @@ def one_hop(edges: DataFrame, start: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): least reachable id; each round takes the least neighbouring label and jumps to that label's label."""
     one = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = _staged(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    label = _staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "label")
+    both = staged(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
+    held = staged(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "label")
     while True:
+        label = held.select("u", "l")
         near = both.join(label.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         least = label.join(near, "u").select("u", F.col("l").alias("before"), F.least("l", "m").alias("l"))
-        fresh = _staged(least.join(label.select(F.col("u").alias("l"), F.col("l").alias("root")), "l").select("u", "before", F.least("l", "root").alias("l")), "label")
+        fresh = staged(least.join(label.select(F.col("u").alias("l"), F.col("l").alias("root")), "l").select("u", "before", F.least("l", "root").alias("l")), "label")
+        discard(held)
         if fresh.where("l <> before").isEmpty():
+            discard(both)
             return fresh.select(F.col("u").alias("id"), F.col("l").alias("component"))
-        label = fresh.select("u", "l")
+        held = fresh
 
 
 def communities(edges: DataFrame, rounds: int = 10, least: int = 3) -> DataFrame:
     """Groups of an undirected weighted graph (u, v, weight, both ways) by label propagation: every node takes the label with the
     most weight around it, ties to the smaller; every second round only nodes of odd hash move, which keeps it from swinging.
     Groups under `least` members are left out."""
-    label = edges.select(F.col("u").alias("id")).distinct().withColumn("l", F.col("id"))
+    label = staged(edges.select(F.col("u").alias("id")).distinct().withColumn("l", F.col("id")), "communities")
     for k in range(rounds):
         votes = edges.join(label.withColumnRenamed("id", "v"), "v").groupBy("u", "l").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("u").agg(F.max_by("l", F.struct("w", (-F.col("l")).alias("l"))).alias("n"))
         move = F.pmod(F.hash("id"), F.lit(2)) == k % 2
-        label = _staged(label.join(best, label["id"] == best["u"], "left").select("id", F.when(move, F.coalesce("n", "l")).otherwise(F.col("l")).alias("l")), "communities")
+        before = label
+        label = staged(label.join(best, label["id"] == best["u"], "left").select("id", F.when(move, F.coalesce("n", "l")).otherwise(F.col("l")).alias("l")), "communities")
+        discard(before)
     sizes = label.groupBy("l").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("community")).where(F.col("size") >= least)
     return label.join(sizes, "l").select("id", "community", "size")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.operators.curation import aliases as aliases_of
 from loomspark.operators.entities import co_mentions
+from loomspark.session import staged
 
 #: Characters of aliases in a shard, cells of one transition array, characters of texts in step at once, and of one stretch.
 SHARD_CHARS, CELLS, STEP_CHARS, STRETCH = 500_000, 8_000_000, 4_000_000, 2048
@@ -165,9 +166,7 @@ def _scan(patterns: list[str]):
 def mention_edges(aliases: DataFrame, texts: DataFrame, share: float | None = None, floor: int = 0) -> DataFrame:
     """(text_id, id), distinct, for aliases (id, alias). With a share, aliases found in more texts than that part of all (and than
     `floor`) are too general and go whole; `general_aliases` tells which."""
-    from loomspark.operators.graph import _staged
-
-    hits = _staged(mentions(aliases, texts).distinct(), "mentions") if share is not None else mentions(aliases, texts)
+    hits = staged(mentions(aliases, texts).distinct(), "mentions") if share is not None else mentions(aliases, texts)
     if share is not None:
         hits = hits.join(general_aliases(hits, texts, share, floor), "alias", "left_anti")
     fold_column = F.pandas_udf(lambda s: s.map(fold, na_action="ignore"), "string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions import vectors as V
-from loomspark.operators import chunking, entities, evaluation, graph, mentions, relational, retrieval
+from loomspark.operators import chunking, entities, evaluation, graph, mentions, modularity, relational, retrieval
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _TYPED
@@ -223,9 +223,29 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k15_communities")
 def k15(spark: SparkSession, d: str) -> DataFrame:
+    return modularity.communities(graph.ranking_graph(shapes.relations(spark, d)))
+
+
+@query("k15_label_propagation")
+def k15_labels(spark: SparkSession, d: str) -> DataFrame:
     return graph.communities(graph.ranking_graph(shapes.relations(spark, d)), rounds=6)
 
 
+_ONE = "one AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(weight, id) AS weight FROM relations WHERE src <> dst GROUP BY 1, 2), e AS (SELECT lo AS u, hi AS v, weight FROM one UNION ALL SELECT hi, lo, weight FROM one)"
+
+
+@query("k16_community_peers", shapes.with_("nodes", "relations") + f""", {_ONE}, c AS (SELECT n.id, n.name, n.p_size AS community, coalesce(w, 0)::DOUBLE AS w FROM nodes n LEFT JOIN (SELECT u, sum(weight) AS w FROM e GROUP BY 1) x ON x.u = n.id),
+    f AS (SELECT p_partkey AS q, lower(p_name) AS key, list_distinct(['rank', split_part(p_name, ' ', 2), 'like']) AS asked FROM part WHERE p_partkey % 100 = 0),
+    r AS (SELECT q, asked, c.id AS focal, community FROM f JOIN c ON lower(c.name) = key QUALIFY row_number() OVER (PARTITION BY q ORDER BY w DESC, c.id) = 1),
+    s AS (SELECT q, c.id, c.name, w, round(len(list_filter(asked, lambda x: list_contains(string_split(lower(c.name), ' '), x))) / len(asked) * w, 6) AS score FROM r JOIN c ON c.community = r.community AND c.id <> r.focal)
+    SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, w DESC, id) AS rank, id, name, score FROM s QUALIFY rank <= 8""")
+def k16(spark: SparkSession, d: str) -> DataFrame:
+    nodes = shapes.nodes(spark, d)
+    query_ = F.concat(F.lit("Rank: "), F.split("p_name", " ")[1], F.lit(" like"))
+    focals = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("q"), F.col("p_name").alias("name"), query_.alias("query"))
+    return modularity.community_peers(nodes, nodes.select("id", F.col("p_size").alias("community")), graph.ranking_graph(shapes.relations(spark, d)), focals)
+
+
 @query("k19_symmetric_ends", shapes.with_("relations") + "SELECT id, CASE WHEN edge_type = 'contrasts_with' AND dst < src THEN dst ELSE src END AS a, CASE WHEN edge_type = 'contrasts_with' AND dst < src THEN src ELSE dst END AS b FROM relations")
 def k19(spark: SparkSession, d: str) -> DataFrame:
     a, b = graph.canonical_ends(F.col("edge_type"), F.col("src"), F.col("dst"))
