@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.operators.segmentation import greedy_segments
+from loomspark.session import staged
+
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos, text, char_start of every line that is not blank."""
@@ -88,8 +90,8 @@ def chunks(elements: DataFrame, target: int = 600) -> DataFrame:
     """Neighbouring elements packed until `target` characters are reached; a heading begins a new chunk and names its section.
 
     doc_id, chunk, section_path, text, element_ids. A chunk's text begins with the last two parts of its section in brackets.
-    Images and figures stay only where a `caption` column has one for them. Sections are told apart by window functions and
-    numbered each on its own; only within a section does a chunk's end depend on the one before.
+    Images and figures stay only where a `caption` column has one for them. Sections are told apart by window functions;
+    within one, `segmentation` finds the chunks' ends from positions and sizes alone, and texts meet them once.
     """
     blank = F.lit(None).cast("string")
     rows = elements.select("doc_id", "pos", "element_type", F.trim(F.coalesce("text", F.lit(""))).alias("text"), *[(F.col(c) if c in elements.columns else blank).alias(c) for c in ("section_path", "caption")])
@@ -101,16 +103,9 @@ def chunks(elements: DataFrame, target: int = 600) -> DataFrame:
     pictures = F.col("element_type").isin("image", "figure") & (F.coalesce("caption", F.lit("")) == "")
     body = placed.where(~heading & ~pictures & (F.col("text") != "")).select("doc_id", "section", "parts", "pos", "text", F.length("text").alias("size"))
 
-    def number(section: pd.DataFrame) -> pd.DataFrame:
-        section = section.sort_values("pos")
-        reach = section["size"].cumsum().to_numpy()
-        ends = [np.searchsorted(reach, target)]
-        while ends[-1] < len(reach):
-            ends.append(np.searchsorted(reach, reach[ends[-1]] + target))
-        return section.assign(nth=np.searchsorted(ends, np.arange(len(reach))))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema)
-    numbered = body.groupBy("doc_id", "section").applyInPandas(number, schema + ", nth long")
+    body = staged(body.withColumn("element", F.monotonically_increasing_id()), "body")
+    places = greedy_segments(body.select("doc_id", "section", "pos", "element", "size"), ["doc_id", "section"], ["pos", "element"], "size", target=target)
+    numbered = body.join(places.select("element", F.col("segment").alias("nth")), "element")
     packed = numbered.groupBy("doc_id", "section", "nth").agg(F.first("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("items"))
     prefix = F.array_join(F.slice("parts", F.greatest(F.size("parts") - 1, F.lit(1)), F.lit(2)), " > ")
     text = F.array_join(F.transform("items", lambda x: x["text"]), "\n")
@@ -132,20 +127,9 @@ def windows(docs: DataFrame, size: int = 9000, overlap: int = 450, id_col: str =
 
 
 def batches(candidates: DataFrame, key: str, order: list[str], most: int, chars: int) -> DataFrame:
-    """Candidates (with `size` characters each) dealt to consecutive batches of at most `most` rows and `chars` characters."""
-
-    def deal(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order)
-        n = used = batch = 0
-        out = []
-        for s in df["size"]:
-            if n and (n >= most or used + s > chars):
-                batch, n, used = batch + 1, 0, 0
-            n, used = n + 1, used + s
-            out.append(batch)
-        return df.assign(batch=out)
-
-    return candidates.groupBy(key).applyInPandas(deal, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema) + ", batch int")
+    """Candidates (with `size` characters each) dealt to consecutive batches of at most `most` rows and `chars` characters; one that
+    is longer is a batch of its own. No group has to fit a task."""
+    return greedy_segments(candidates, [key], order, "size", most=most, chars=chars).withColumn("segment", F.col("segment").cast("int")).withColumnRenamed("segment", "batch")
 
 
 def without_page_edges(elements: DataFrame, share: float = 0.5, pages: int = 3) -> DataFrame:

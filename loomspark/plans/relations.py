@@ -357,9 +357,14 @@ def e12(spark: SparkSession, d: str) -> DataFrame:
     return chunking.windows(table(spark, d, "documents"), 1000, 100).select("doc_id", "window", "char_start", "char_end")
 
 
-@query("e13_chunks")
+@query("e13_chunks", shapes.with_("elements").replace("WITH ", "WITH RECURSIVE ", 1) + """, b AS (SELECT doc_id, pos, trim(text, ' ') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM elements WHERE pos > 0),
+    h AS (SELECT doc_id, trim(text, ' ') AS title FROM elements WHERE pos = 0),
+    w AS (SELECT doc_id, i, 0 AS nth, length(t) AS used FROM b WHERE i = 1 UNION ALL
+          SELECT b.doc_id, b.i, CASE WHEN used >= 600 THEN nth + 1 ELSE nth END, CASE WHEN used >= 600 THEN length(t) ELSE used + length(t) END FROM w JOIN b ON b.doc_id = w.doc_id AND b.i = w.i + 1)
+    SELECT doc_id, nth AS chunk, coalesce(any_value(title), '') AS section_path, CASE WHEN any_value(title) IS NULL THEN '' ELSE '[' || any_value(title) || '] ' END || string_agg(t, chr(10) ORDER BY i) AS text,
+           string_agg(CAST(pos AS VARCHAR), ',' ORDER BY i) AS element_ids FROM w JOIN b USING (doc_id, i) LEFT JOIN h USING (doc_id) GROUP BY doc_id, nth""")
 def e13(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(shapes.typed_elements(spark, d))
+    return chunking.chunks(shapes.typed_elements(spark, d)).withColumn("element_ids", F.array_join("element_ids", ","))
 
 
 @query("e14_evenly_spaced", "WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id FROM n WHERE n <= 5 OR i IN (0, (n - 1) // 4, 2 * (n - 1) // 4, 3 * (n - 1) // 4, n - 1)")
@@ -397,7 +402,11 @@ def f10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").orderBy(tier, "o_totalprice", "o_orderkey").offset(10).limit(30).select("o_orderkey")
 
 
-@query("f12_batches")
+@query("f12_batches", """WITH RECURSIVE r AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+    w AS (SELECT source, i, 0 AS batch, 1 AS n, size AS used FROM r WHERE i = 1 UNION ALL
+          SELECT r.source, r.i, CASE WHEN n >= 20 OR used + size > 20000 THEN batch + 1 ELSE batch END, CASE WHEN n >= 20 OR used + size > 20000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 20 OR used + size > 20000 THEN size ELSE used + size END
+          FROM w JOIN r ON r.source = w.source AND r.i = w.i + 1)
+    SELECT source, doc_id, size, batch FROM w JOIN r USING (source, i)""")
 def f12(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size"))
     return chunking.batches(rows, "source", ["doc_id"], 20, 20_000)
