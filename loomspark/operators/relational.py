@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import iou
+from loomspark.session import staged
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column, keep: int = 1) -> DataFrame:
@@ -84,19 +84,28 @@ def overlapping_spans(gold: DataFrame, pred: DataFrame, keys: list[str], width:
     return both.withColumn("iou", F.round(iou(F.col("gold_a"), F.col("gold_b"), F.col("pred_a"), F.col("pred_b")), 6)).where(F.col("iou") > least).drop("__bin")
 
 
-def greedy_matching(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one matches (gold_id, pred_id, iou) within each key: best first, ties by ids."""
+def greedy_matching(pairs: DataFrame, keys: list[str], score: str = "iou") -> DataFrame:
+    """One-to-one matches (gold_id, pred_id, score) within each key: best first, ties by ids.
 
-    def match(df: pd.DataFrame) -> pd.DataFrame:
-        taken_g, taken_p, out = set(), set(), []
-        for r in df.sort_values(["iou", "gold_id", "pred_id"], ascending=[False, True, True]).itertuples(index=False):
-            if r.gold_id not in taken_g and r.pred_id not in taken_p:
-                taken_g.add(r.gold_id)
-                taken_p.add(r.pred_id)
-                out.append(r)
-        return pd.DataFrame(out, columns=df.columns)
-
-    return pairs.groupBy(*keys).applyInPandas(match, pairs.schema)
+    What the sorted loop takes, found in rounds: a pair that is the best left for its gold and for its pred is taken, and all pairs
+    that share a side with one go. No key has to fit a task; a round is two grouped minima, and most pairs go in the first few.
+    Repeated pairs count once, at their best; null keys are keys, pairs without a score or a side are passed over.
+    """
+    names = pairs.columns
+    rows = pairs.dropna(subset=["gold_id", "pred_id", score]).withColumn("__k", F.struct(*keys))
+    left = staged(rows.withColumn("__o", F.struct((-F.col(score)).alias("s"), "gold_id", "pred_id")), "pairs")
+    taken = None
+    while True:
+        by_gold = left.groupBy("__k", "gold_id").agg(F.min("__o").alias("__o"))
+        by_pred = left.groupBy("__k", "pred_id").agg(F.min("__o").alias("__o"))
+        best = staged(by_gold.join(by_pred.select("__k", "__o"), ["__k", "__o"]).select("__k", "__o"), "best")
+        if best.isEmpty():
+            break
+        now = left.join(best, ["__k", "__o"], "left_semi").dropDuplicates(["__k", "__o"]).select(*names)
+        taken = now if taken is None else taken.unionByName(now)
+        gone = lambda side: best.select("__k", F.col(f"__o.{side}").alias(side))
+        left = staged(left.join(gone("gold_id"), ["__k", "gold_id"], "left_anti").join(gone("pred_id"), ["__k", "pred_id"], "left_anti"), "pairs")
+    return left.select(*names).limit(0) if taken is None else taken
 
 
 def identity_map(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:

@@ -110,7 +110,17 @@ def c14(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).select("k", "gold_id", "pred_id", "iou")
 
 
-@query("c15_greedy_matching")
+_LOOP = """r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY iou DESC, gold_id, pred_id) AS i FROM pairs),
+    w AS (SELECT k, i, gold_id, pred_id, iou, true AS taken, [gold_id] AS gs, [pred_id] AS ps FROM r WHERE i = 1 UNION ALL
+          SELECT r.k, r.i, r.gold_id, r.pred_id, r.iou, NOT list_contains(gs, r.gold_id) AND NOT list_contains(ps, r.pred_id),
+                 CASE WHEN list_contains(gs, r.gold_id) OR list_contains(ps, r.pred_id) THEN gs ELSE list_append(gs, r.gold_id) END,
+                 CASE WHEN list_contains(gs, r.gold_id) OR list_contains(ps, r.pred_id) THEN ps ELSE list_append(ps, r.pred_id) END
+          FROM w JOIN r ON r.k = w.k AND r.i = w.i + 1),
+    m AS (SELECT k, gold_id, pred_id, iou FROM w WHERE taken)"""
+_PAIRS = "pairs AS (SELECT k, g.id AS gold_id, p.id AS pred_id, round((least(g.b, p.b) - greatest(g.a, p.a)) * 1.0 / ((g.b - g.a) + (p.b - p.a) - (least(g.b, p.b) - greatest(g.a, p.a))), 6) AS iou FROM g JOIN p USING (k) WHERE g.a < p.b AND p.a < g.b)"
+
+
+@query("c15_greedy_matching", _SPANS.replace("WITH g", "WITH RECURSIVE g", 1) + f", {_PAIRS}, {_LOOP} SELECT * FROM m")
 def c15(spark: SparkSession, d: str) -> DataFrame:
     return relational.greedy_matching(_spans(spark, d).select("k", "gold_id", "pred_id", "iou"), ["k"])
 
