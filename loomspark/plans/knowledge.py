@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions import vectors as V
-from loomspark.operators import chunking, entities, evaluation, graph, mentions, modularity, relational, retrieval
+from loomspark.operators import chunking, entities, evaluation, graph, mentions, modularity, relational, retrieval, section_lookup
 from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _TYPED
@@ -88,10 +88,31 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.quota_fusion(hits, 40).select("id", "lane", "turn")
 
 
-@query("r11_exact_lookup", "SELECT doc_id, count(*) AS hits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, 'License') GROUP BY 1 ORDER BY hits DESC, doc_id LIMIT 20")
+_SECTIONS = r"""WITH c AS (SELECT conv_id * 1000 + turn AS id, role AS source_id, 'Book > ' || regexp_extract(text, '^(\S+)', 1) || CASE WHEN turn % 2 = 0 THEN '' ELSE ' > ' || regexp_extract(text, '(\S+)$', 1) END AS section_path, conv_id * 1000 + turn AS pos, text, turn % 7 = 6 AS navigation FROM conversations),
+    u AS (SELECT * FROM c WHERE NOT navigation), t AS (SELECT item_id AS q, nth, unnest([regexp_extract(text, '^(\S+)', 1), regexp_extract(text, '(\w{6,})', 1)]) AS term FROM (SELECT *, 0 AS nth FROM benchmark)),
+    a AS (SELECT DISTINCT q, term, CASE WHEN term = (SELECT regexp_extract(text, '^(\S+)', 1) FROM benchmark b WHERE b.item_id = q) THEN 1 ELSE 2 END AS nth FROM t WHERE term <> ''),
+    h AS (SELECT q, term, nth, u.*, row_number() OVER (PARTITION BY q, term ORDER BY source_id, pos, id) AS n FROM a JOIN u ON contains(lower(text), lower(term)) QUALIFY n <= 50),
+    p AS (SELECT *, string_split(section_path, ' > ') AS s FROM h),
+    g AS (SELECT *, coalesce(list_filter([array_to_string(s[1:1], ' > '), array_to_string(s[1:2], ' > '), array_to_string(s[1:3], ' > ')], lambda x: contains(lower(x), lower(term)))[1], section_path) AS group_path FROM p),
+    o AS (SELECT q, source_id, group_path, id, min([nth, n]) AS f FROM g GROUP BY 1, 2, 3, 4),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY hits DESC, length(group_path), group_path, source_id) AS section FROM (SELECT q, source_id, group_path, count(*) AS hits FROM o GROUP BY 1, 2, 3)) WHERE section <= 3),
+    k AS (SELECT b.*, EXISTS (SELECT 1 FROM a WHERE a.q = b.q AND contains(lower(group_path), lower(term))) AS named FROM b),
+    l AS (SELECT q, section, k.source_id, group_path, id, pos AS x, 0 AS y FROM k JOIN u ON named AND u.source_id = k.source_id AND (section_path = group_path OR starts_with(section_path, group_path || ' > '))
+          UNION ALL SELECT q, section, source_id, group_path, id, f[1], f[2] FROM k JOIN o USING (q, source_id, group_path) WHERE NOT named),
+    m AS (SELECT *, row_number() OVER (PARTITION BY q, section ORDER BY x, y, id) AS place FROM l QUALIFY place <= 12),
+    z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY q, id ORDER BY section) = 1)
+    SELECT q, section, place, id, z.source_id, group_path, round((SELECT count(DISTINCT lower(term)) FROM a WHERE a.q = z.q AND contains(lower(u.section_path || ' ' || u.text), lower(term))) / (SELECT count(DISTINCT lower(term)) FROM a WHERE a.q = z.q), 6) AS relevance FROM z JOIN u USING (id)"""
+
+
+@query("r11_section_lookup", _SECTIONS)
 def r11(spark: SparkSession, d: str) -> DataFrame:
-    hits = chunking.lines(table(spark, d, "documents")).where(F.contains("text", F.lit("License")))
-    return hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(20)
+    """Turns are chunks under breadcrumbs of their own words; each benchmark item asks for its first word and its first long one."""
+    word = lambda pattern: F.regexp_extract("text", pattern, 1)
+    deeper = F.when(F.col("turn") % 2 == 0, "").otherwise(F.concat(F.lit(" > "), word(r"(\S+)$")))
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    chunks = table(spark, d, "conversations").select(at.alias("id"), F.col("role").alias("source_id"), F.concat(F.lit("Book > "), word(r"^(\S+)"), deeper).alias("section_path"), at.alias("pos"), "text", (F.col("turn") % 7 == 6).alias("navigation"))
+    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.posexplode(F.array_distinct(F.array(word(r"^(\S+)"), word(r"(\w{6,})")))).alias("nth", "term"))
+    return section_lookup.lookup_sections(chunks, terms)
 
 
 @query("r12_trigram_recall", "WITH t AS (SELECT unnest(['license', 'idiot', 'erster', 'clown']) AS term) SELECT term, doc_id FROM documents, t WHERE contains(lower(text), term)")
