@@ -217,7 +217,7 @@ def y04(spark: SparkSession, d: str) -> DataFrame:
     return graph.chains(shapes.relations(spark, d)).orderBy(F.desc("trust"), "edge_type", "a", "c").limit(50).select("edge_type", "a", "b", "c")
 
 
-@query("k09_variant_stars")
+@query("k09_variant_stars", "SELECT a, p_partkey AS b, base FROM (SELECT p_partkey, lower(p_name) AS base, min(p_partkey) OVER (PARTITION BY lower(p_name)) AS a FROM part) WHERE p_partkey <> a")
 def k09(spark: SparkSession, d: str) -> DataFrame:
     return entities.variant_stars(shapes.nodes(spark, d).withColumn("name", F.concat("name", F.lit(" v"), F.col("p_size").cast("string"))))
 

@@ -246,7 +246,7 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.is_initialism(F.lit("RW"), F.col("p_name")).alias("fits"))
 
 
-@query("s08_variant_base")
+@query("s08_variant_base", r"SELECT p_partkey, CASE WHEN length(p_name) >= 3 THEN lower(trim(regexp_replace(p_name, '[\s\-_]+', ' ', 'g'))) END AS base FROM part")
 def s08(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", T.variant_base(F.concat("p_name", F.lit(" v"), F.col("p_size").cast("string"))).alias("base"))
 

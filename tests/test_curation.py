@@ -13,23 +13,23 @@ SCOPE = "chain int, pos int, region array<string>, assumptions array<string>, ap
 
 def test_scopes_merge(spark):
     rows = [
-        (1, 0, ["Saturation", "Weak Inversion"], ["long channel"], "Small Signal", "Low Frequency"),
-        (1, 1, ["saturation"], ["perfect matching", "LONG CHANNEL"], "small signal", "low frequency"),
+        (1, 0, ["Coastal", "High Valley"], ["long bridge"], "Thin Wall", "Early Spring"),
+        (1, 1, ["coastal"], ["even ground", "LONG BRIDGE"], "thin wall", "early spring"),
         (1, 2, None, None, None, None),
         (2, 0, ["a"], [], None, None), (2, 1, ["b"], [], None, None),
-        (3, 0, None, None, "small signal", None), (3, 1, None, None, "large signal", None),
+        (3, 0, None, None, "thin wall", None), (3, 1, None, None, "thick wall", None),
         (4, 0, None, None, None, "low"), (4, 1, None, None, None, "high"),
-        (5, 0, None, ["with body effect"], None, None), (5, 1, None, ["without body effect"], None, None),
-        (6, 0, None, ["考虑体效应"], None, None), (6, 1, None, ["不考虑体效应"], None, None),
-        (7, 0, None, ["long-channel device"], None, None), (7, 1, None, ["short channel device"], None, None),
-        (8, 0, None, ["小信号模型"], None, None), (8, 1, None, ["大信号模型"], None, None),
-        (9, 0, None, ["ideal device"], None, None), (9, 1, None, ["nonideal device"], None, None),
-        (10, 0, None, ["nonideal device"], None, None), (10, 1, None, ["perfect matching"], None, None),
-        (11, 0, None, ["非理想器件"], None, None), (11, 1, None, ["perfect matching"], None, None),
+        (5, 0, None, ["with side wind"], None, None), (5, 1, None, ["without side wind"], None, None),
+        (6, 0, None, ["考虑风力"], None, None), (6, 1, None, ["不考虑风力"], None, None),
+        (7, 0, None, ["long-arm crane"], None, None), (7, 1, None, ["short arm crane"], None, None),
+        (8, 0, None, ["小信号区"], None, None), (8, 1, None, ["大信号区"], None, None),
+        (9, 0, None, ["ideal beam"], None, None), (9, 1, None, ["nonideal beam"], None, None),
+        (10, 0, None, ["nonideal beam"], None, None), (10, 1, None, ["even ground"], None, None),
+        (11, 0, None, ["非理想梁"], None, None), (11, 1, None, ["even ground"], None, None),
     ]
     got = {r.chain: r for r in curation.merged_scopes(spark.createDataFrame(rows, SCOPE)).collect()}
     assert set(got) == {1, 10, 11}
-    assert (got[1].region, got[1].assumptions, got[1].approximation, got[1].span) == (["saturation"], ["long channel", "perfect matching"], "small signal", "low frequency")
+    assert (got[1].region, got[1].assumptions, got[1].approximation, got[1].span) == (["coastal"], ["long bridge", "even ground"], "thin wall", "early spring")
     assert curation.merged_scopes(spark.createDataFrame([], SCOPE)).count() == 0
 
 
@@ -41,14 +41,14 @@ def floor_of(spark, selected, pool, n):
 
 def test_floor(spark):
     peer = lambda i, extra=False: (i, False, f"text {i}", extra)
-    chosen = [("a-kept", True, "text a", False), peer("b1"), peer("b-q", True), peer("b2"), peer("b3")]
-    spare = [("a1", True, "text a1", 0.4), ("a2", True, "text a2", 0.3)]
-    assert floor_of(spark, chosen, spare, 3) == ["a-kept", "b1", "a1", "b2", "a2"]
-    assert floor_of(spark, chosen, spare, 1) == ["a-kept", "b1", "b-q", "b2", "b3"]
-    peers = [peer(f"b{k}") for k in range(4)]
-    assert floor_of(spark, peers, [("a1", True, "x", 0.2)], 3) == ["b0", "b1", "b2", "a1"]
-    assert floor_of(spark, peers, [(f"a{k}", True, "same", 0.4 - k / 100) for k in range(4)], 3) == ["b0", "b1", "b2", "a0"]
-    assert floor_of(spark, [("a1", True, "same", False), *peers[:3]], [("a2", True, "same", 0.3)], 2) == ["a1", "b0", "b1", "b2"]
+    chosen = [("held", True, "text h", False), peer("far1"), peer("extra", True), peer("far2"), peer("far3")]
+    spare = [("near1", True, "text n1", 0.4), ("near2", True, "text n2", 0.3)]
+    assert floor_of(spark, chosen, spare, 3) == ["held", "far1", "near1", "far2", "near2"]
+    assert floor_of(spark, chosen, spare, 1) == ["held", "far1", "extra", "far2", "far3"]
+    peers = [peer(f"far{k}") for k in range(4)]
+    assert floor_of(spark, peers, [("near1", True, "x", 0.2)], 3) == ["far0", "far1", "far2", "near1"]
+    assert floor_of(spark, peers, [(f"near{k}", True, "same", 0.4 - k / 100) for k in range(4)], 3) == ["far0", "far1", "far2", "near0"]
+    assert floor_of(spark, [("near1", True, "same", False), *peers[:3]], [("near2", True, "same", 0.3)], 2) == ["near1", "far0", "far1", "far2"]
 
 
 def test_markers(spark):
