@@ -6,29 +6,28 @@ bytes alone, so equal windows have equal anchors at equal distances. Neighbourin
 (about 40 windows), and windows can only repeat where anchor strings repeat:
 
 1. segments whose anchor string occurs once in the corpus are unique throughout and leave the race;
-2. of equal segments all but the first are repeats throughout;
+2. of equal segments all but the first are repeats throughout (equal by 128 bits of a hash whose key is drawn for each run);
 3. segments that share an anchor string without being equal are contested. The suffixes at their windows are put in order by
    deep-shallow sorting: a multikey quicksort, eight bytes a character, to a shallow depth; groups of suffixes that still tie
    go into a blind trie each, which tells equal windows apart from those that differ further on.
 
 A contested anchor string with more than `BUCKET` different segments is salted over several tasks; each passes on its own
-first occurrences as packed runs of (128-bit hash, position), cut by ranges of the hash. The runs of one range are merged in
+first occurrences as packed runs of (128-bit keyed hash, position), cut by ranges of the hash. The runs of one range are merged in
 one task; a window occurs there once a task, however often it does in the corpus.
 
 Edge cases: null counts as empty; texts under 100 bytes keep all bytes; matches never cross documents; ties in position are
-settled by doc_id, then start. Ids are taken as unique: rows that repeat an id with the same text count as one document and get
-equal results, with another text the id's spans apply to both as far as they reach. A null id takes part in nothing and keeps
-its text. An empty table gives an empty result; extra columns are ignored. Long texts are scanned block by block, whole.
+settled by doc_id, then start. Rows that repeat an id are documents of their own, one after the other in the order of a hash of
+their texts, so of equal ones the first stays. A null id takes part in nothing and keeps its text. An empty table gives an empty result; extra columns are ignored. Long texts are scanned block by block, whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +73,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def _segments_of(block: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of a block of whole texts that end at `ends`: window start, windows, hash of the anchor string, hash of the bytes."""
+def digests(text: bytes, starts: list[int], ends: list[int], key: bytes) -> np.ndarray:
+    """128 bits of a keyed hash for each stretch of the text, as two numbers. The key is drawn for each run, so that no text can be
+    written to collide."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(text[a:b], digest_size=16, key=key).digest() for a, b in zip(starts, ends, strict=True)]), "<u8").reshape(-1, 2)
+
+
+def _segments_of(block: bytes, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, ...]:
+    """Segments of a block of whole texts that end at `ends`: window start, windows, hash of the anchor string, digest of the bytes."""
     raw = np.frombuffer(block, np.uint8)
     n = len(raw)
     sums = np.zeros(n + 1, np.uint64)
@@ -94,18 +100,17 @@ def _segments_of(block: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last = valid[:-1].copy()
     last[:-1] &= changed | ~valid[1:-1]
     s, e = np.flatnonzero(first), np.flatnonzero(last)
-    whole = _mix((sums[e + LENGTH] - sums[s]) * _INV[s], 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
-    return s, e - s + 1, grams[anchors[s]], whole
+    return s, e - s + 1, grams[anchors[s]], digests(block, s.tolist(), (e + LENGTH).tolist(), key)
 
 
-def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of the texts: index of the text, first window, windows, anchor hash, segment hash; block by block."""
+def segments(texts: list[bytes], key: bytes = b"") -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the texts: index of the text, first window, windows, anchor hash, segment digest; block by block."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
 
     def scan() -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(b) for _, _, b in held])
-        s, runs, grams, whole = _segments_of(b"".join(b for _, _, b in held), ends)
+        s, runs, grams, whole = _segments_of(b"".join(b for _, _, b in held), ends, key)
         at = np.searchsorted(ends, s, "right")
         shift = np.array([base - (end - len(b)) for (_, base, b), end in zip(held, ends.tolist(), strict=True)], np.int64)
         return np.array([k for k, _, _ in held], np.int64)[at], s + shift[at], runs, grams, whole
@@ -122,20 +127,24 @@ def segments(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield scan()
 
 
-_SEGMENTS = "gram long, whole long, doc_id long, start int, windows int"
+_SEGMENTS = "gram long, whole long, sure long, doc_id long, start int, windows int"
 
 
-def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            some = batch.slice(at, 500)
-            ids = some.column(0).to_numpy(zero_copy_only=False)
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in some.column(1).cast(pa.large_binary())]
-            for k, start, runs, grams, whole in segments(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids[k]), pa.array(start.astype(np.int32)), pa.array(runs.astype(np.int32))],
-                    names=["gram", "whole", "doc_id", "start", "windows"],
-                )
+def _segment_rows(key: bytes):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                ids = some.column(0).to_numpy(zero_copy_only=False)
+                texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in some.column(1).cast(pa.large_binary())]
+                for k, start, runs, grams, whole in segments(texts, key):
+                    whole = whole.view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(grams.view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.array(ids[k]), pa.array(start.astype(np.int32)), pa.array(runs.astype(np.int32))],
+                        names=["gram", "whole", "sure", "doc_id", "start", "windows"],
+                    )
+
+    return rows
 
 
 class BlindTrie:
@@ -222,7 +231,7 @@ def _runs(heads: list[np.ndarray], bins: int) -> pa.RecordBatch:
     return _found([(None, None, None, int(of[a]), every[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def _sorted_windows(bins: int):
+def _sorted_windows(bins: int, key: bytes):
     """Contested segments, sorted by group: repeats within the task as spans, and of salted groups the runs of first windows."""
 
     def work(rows: list[tuple], heads: list[np.ndarray]) -> pa.RecordBatch:
@@ -244,8 +253,8 @@ def _sorted_windows(bins: int):
         own = np.flatnonzero(salted[of] & (first == np.arange(len(first))))
         if len(own):
             out = np.empty(len(own), _HEAD)
-            digest = xxhash.xxh3_128_digest
-            hashes = np.frombuffer(b"".join([digest(text[q : q + LENGTH]) for q in (base[of[own]] + within[own]).tolist()]), "<u8").reshape(-1, 2)
+            where = base[of[own]] + within[own]
+            hashes = digests(text, where.tolist(), (where + LENGTH).tolist(), key)
             out["h1"], out["h2"] = hashes[:, 0], hashes[:, 1]
             out["doc_id"] = np.array([r[3] for r in rows], np.int64)[of[own]]
             out["start"] = np.array([r[4] for r in rows], np.int64)[of[own]] + within[own]
@@ -297,17 +306,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, stop (bytes) of strings that start earlier as well; spans of a document may overlap."""
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, secrets.token_bytes(16)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    scan = texts.mapInArrow(_segment_rows, _SEGMENTS)
+    scan = texts.mapInArrow(_segment_rows(key), _SEGMENTS)
     grams = staged(scan.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("contested")), "grams")
     drop_shuffles(spark)
     shared = staged(scan.join(grams, "gram"), "segments")
     discard(grams)
     drop_shuffles(spark)
-    firsts = staged(shared.groupBy("gram", "whole").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"), F.first("contested").alias("contested"), F.count(F.lit(1)).alias("n")), "firsts")
-    several = firsts.where("n > 1").select("gram", "whole", "at")
-    copies = shared.join(several, ["gram", "whole"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
+    firsts = staged(shared.groupBy("gram", "whole", "sure").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"), F.first("contested").alias("contested"), F.count(F.lit(1)).alias("n")), "firsts")
+    several = firsts.where("n > 1").select("gram", "whole", "sure", "at")
+    copies = shared.join(several, ["gram", "whole", "sure"]).where((F.col("doc_id") != F.col("at.doc_id")) | (F.col("start") != F.col("at.start")))
     copies = staged(copies.select("doc_id", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("stop")), "copies")
     discard(shared)
     drop_shuffles(spark)
@@ -332,7 +341,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings = texts.join(by_doc, "doc_id").select("doc_id", "text", "segments").mapInArrow(cut, "gram long, salt int, salts int, doc_id long, start int, bytes binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = strings.repartition(parts, "gram", "salt").sortWithinPartitions("gram", "salt")
-    found = staged(dealt.mapInArrow(_sorted_windows(4 * parts), "doc_id long, start int, stop int, bin int, run binary"), "windows")
+    found = staged(dealt.mapInArrow(_sorted_windows(4 * parts, key), "doc_id long, start int, stop int, bin int, run binary"), "windows")
     discard(firsts)
     drop_shuffles(spark)
     local = found.where("stop IS NOT NULL").select("doc_id", "start", "stop")
@@ -358,10 +367,21 @@ def _strip(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return kept, len(raw) - len(kept), len(merged)
 
 
+def _in_order(texts: DataFrame) -> tuple[DataFrame, str]:
+    """texts (doc_id, text) and a column that names each row and rises with doc_id: the id itself where ids are unique, else a
+    number written down beside the rows; null ids have none."""
+    if texts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return texts, "doc_id"
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    laid = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    return staged(laid.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "numbered"), "row"
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and with keep_bytes the remaining bytes."""
-    spans = repeated_spans(docs, id_col, text_col)
-    by_doc = staged(spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans-by-doc")
+    texts, key = _in_order(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    spans = repeated_spans(texts, key, "text")
+    by_doc = staged(spans.withColumnRenamed("doc_id", key).groupBy(key).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans-by-doc")
     discard(spans)
     drop_shuffles(docs.sparkSession)
 
@@ -376,6 +396,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), types, strict=True)], names=names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    out = texts.join(by_doc, key, "left").select("doc_id", "text", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
     return out.withColumnRenamed("doc_id", id_col)

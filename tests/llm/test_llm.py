@@ -77,11 +77,23 @@ def test_repeats(docs, none, bucket, monkeypatch):
     assert got == removed_by_force(texts())
 
 
+def test_repeats_of_awkward_ids_and_made_texts(spark):
+    """Rows that share an id, and two texts that were written to have equal sums in a hash this operator once used."""
+    made = ["vznwsbwguyxgjfksgcwexougawiwvpsypfiowdempyxzurktauskikfoikdnyerghfacntubqtoaionjmesiebzrovqyvyamalsb", "ukwidsekeklgaoksecmaubgouzmuflnsjzqrgjempyxzurktauskikfoikdnyenofgqdlenjqgucaaasncirlnswzdngamdgvwtv"]
+    a, b = LINE * 2, "".join(np.random.default_rng(8).choice(list("abcdefgh"), 419))
+    rows = [(1, made[0]), (2, made[1]), (3, a), (4, a), (4, b), (4, b), (None, a), (None, None), (5, None), (6, b + "x")]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    n = len(a)
+    first = removed_by_force([(0, a)])[0][1]
+    want = [(1, 100, 0), (2, 100, 0), (3, n, first), (4, n, n), (4, 419, 0), (4, 419, 419), (None, n, 0), (None, 0, 0), (5, 0, 0), (6, 420, 419)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_repeats_across_blocks(monkeypatch):
     rng = np.random.default_rng(1)
     part = rng.integers(97, 123, 5000, dtype=np.uint8).tobytes()
     runs = []
-    for k, start, windows, gram, _ in repeats.segments([part, b"short", part[100:] * 300]):
+    for k, start, windows, gram, _ in repeats.segments([part, b"short", part[100:] * 300], b"key"):
         runs += zip(k.tolist(), start.tolist(), windows.tolist(), gram.tolist(), strict=True)
     by_text = defaultdict(list)
     for k, s, w, _ in runs:
