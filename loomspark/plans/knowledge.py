@@ -14,7 +14,7 @@ from loomspark.plans import shapes
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _TYPED
 from loomspark.session import shared_dir, table
-from loomspark.streaming import changes
+from loomspark.streaming import changes, packages
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
 
@@ -509,6 +509,37 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
     return relational.change_feed(o.where("o_orderstatus <> 'P'"), after, ["o_orderkey"], ["o_orderstatus"]).select("o_orderkey", "op")
 
 
+@query("w02_change_packages", """WITH e AS (SELECT user_id, event_id AS seq, event_type, value, event_type = 'view' AND event_id % 5 = 0 AS moved FROM events),
+    x AS (SELECT user_id AS k, seq, CASE WHEN event_type = 'error' OR moved THEN NULL ELSE value END AS v FROM e UNION ALL SELECT user_id + 100000, seq, value FROM e WHERE moved),
+    l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM x) SELECT seq, '{"user":"' || k || '"}' AS key, v AS value FROM l WHERE n = 1 AND v IS NOT NULL""")
+def w02(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a change log in three files: errors delete, every fifth view moves its user to another key."""
+    at = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
+    named = lambda k: F.concat(F.lit('{"user": '), k.cast("string"), F.lit("}"))
+    moved = (F.col("event_type") == "view") & (F.col("event_id") % 5 == 0)
+    log = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("epoch"), F.lit("users").alias("table"), F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"),
+        named(F.when(moved, F.col("user_id") + 100000).otherwise(F.col("user_id"))).alias("key"), F.when(moved, named(F.col("user_id"))).alias("old_key"),
+        F.to_json(F.struct("value")).alias("row"), F.lit("nb").alias("owner"), F.lit(None).cast("string").alias("parent"),
+    )
+    log.repartition(3).write.parquet(f"{at}/in")
+    packages.packaged(changes.followed(spark, f"{at}/in", packages.CHANGES), f"{at}/out", "home", f"{at}/checkpoint").awaitTermination()
+    return packages.applied(spark, f"{at}/out", "users", "value double")
+
+
+@query("w12_version_gate", "WITH n AS (SELECT count(*) AS n, max(event_id) AS seq FROM events) SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, true)) t(step, made), (SELECT n FROM n)")
+def w12(spark: SparkSession, d: str) -> DataFrame:
+    """One result asked for four times: as made, unchanged, after a change, and after a reset that brings the first number back."""
+    store, events = f"{shared_dir(spark)}/versions/{uuid.uuid4().hex}", table(spark, d, "events")
+    seq = events.agg(F.max("event_id")).head()[0]
+    out = None
+    for step, (epoch, at) in enumerate([(1, seq), (1, seq), (1, seq + 1), (2, seq)], 1):
+        counts, made = packages.versioned(spark, store, "types", epoch, at, lambda: events.groupBy("event_type").count())
+        one = counts.agg(F.sum("count").alias("n")).select(F.lit(step).alias("step"), F.lit(made).alias("made"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("w03_retention", "SELECT event_id FROM events WHERE event_id >= 300 OR ts >= TIMESTAMP '2024-01-25'")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     return changes.retained(table(spark, d, "events"), "event_id", "ts", [500, None, 300, 900], "2024-01-25").select("event_id")
