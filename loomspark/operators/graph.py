@@ -127,6 +127,48 @@ def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5,
     return score
 
 
+def push_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, tolerance: float = 1e-8, most: int = 200) -> DataFrame:
+    """Personalised PageRank of (u, v, weight) from seeds (id, weight) to a tolerance: id and score of every node reached.
+
+    Driven by residuals: a node holds a score and a residual that is still to be passed on. Only nodes with a residual above
+    tolerance / (number of nodes) push: a part 1 - damping stays as score, the rest goes along their edges, or back to the seeds
+    where there are none. When no node is active the residuals left sum to no more than the tolerance, which bounds the error of
+    all scores together; `most` rounds are never exceeded. Work shrinks with the active nodes, and a round is one join and one sum
+    combined on the map side. Seeds of weight 0 or less take no part; without any there are no scores.
+    """
+    weighed = seeds.where("weight > 0").groupBy("id").agg(F.sum("weight").cast("double").alias("weight"))
+    total = weighed.agg(F.sum("weight")).head()[0]
+    reset = staged(weighed.select("id", (F.col("weight") / F.lit(total)).alias("r")), "reset")
+    out = edges.groupBy("u").agg(F.sum("weight").alias("out"))
+    shares = staged(edges.join(out, "u").select("u", "v", (F.col("weight") / F.col("out")).alias("share")), "shares")
+    n = shares.select(F.col("u").alias("id")).unionByName(shares.select(F.col("v").alias("id"))).unionByName(reset.select("id")).distinct().count()
+    least = tolerance / max(n, 1)
+    state = staged(reset.select("id", F.lit(0.0).alias("p"), "r"), "state")
+    for _ in range(most):
+        active = F.col("r") > least
+        mass, count = state.agg(F.coalesce(F.sum(F.when(active, F.col("r"))), F.lit(0.0)), F.count_if(active)).head()
+        if not count:
+            break
+        pushed = staged(shares.join(state.where(active).select(F.col("id").alias("u"), "r"), "u").groupBy(F.col("v").alias("id")).agg(F.sum(damping * F.col("share") * F.col("r")).alias("r")), "pushed")
+        back = damping * mass - (pushed.agg(F.sum("r")).head()[0] or 0.0)
+        kept = state.select("id", (F.col("p") + F.when(active, (1 - damping) * F.col("r")).otherwise(0.0)).alias("p"), F.when(active, 0.0).otherwise(F.col("r")).alias("r"))
+        parts = kept.unionByName(pushed.select("id", F.lit(0.0).alias("p"), "r"))
+        if back > least * 1e-6:
+            parts = parts.unionByName(reset.select("id", F.lit(0.0).alias("p"), (F.col("r") * back).alias("r")))
+        before, state = state, staged(parts.groupBy("id").agg(F.sum("p").alias("p"), F.sum("r").alias("r")), "state")
+        discard(before, pushed)
+    return state.select("id", (F.col("p") + F.col("r")).alias("score"))
+
+
+def passage_scores(scores: DataFrame, passages: DataFrame) -> DataFrame:
+    """(id, score) of all passages (id), their ranks from 0 to 1 between the least and the greatest; all 0 where they are equal. A
+    passage that was not reached has the least there is, 0."""
+    raw = passages.select("id").distinct().join(scores, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    ends = raw.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    return raw.crossJoin(F.broadcast(ends)).select("id", F.when(span > 0, (F.col("score") - F.col("lo")) / span).otherwise(0.0).alias("score"))  # one row
+
+
 def bounded_search(edges: DataFrame, start: DataFrame, depth: int, fan_out: int) -> DataFrame:
     """Nodes within `depth` hops of start (id), each node following its first `fan_out` edges (src, dst, edge_type, id) in order: id, hop."""
     first = F.row_number().over(Window.partitionBy("src").orderBy("edge_type", "id"))

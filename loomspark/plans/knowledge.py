@@ -192,6 +192,16 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     return graph.personalized_rank(edges, seeds, rounds=4).withColumn("score", F.round("score", 6))
 
 
+@query("k03_rank_to_tolerance", shapes.with_("nodes", "relations") + ", one AS (SELECT least(src, dst) AS lo, greatest(src, dst) AS hi, arg_min(weight, id) AS weight FROM relations WHERE src <> dst AND status <> 'rejected' GROUP BY 1, 2), e AS (SELECT lo AS u, hi AS v, weight FROM one UNION ALL SELECT hi, lo, weight FROM one), shares AS MATERIALIZED (SELECT u, v, weight / sum(weight) OVER (PARTITION BY u) AS share FROM e), reset AS MATERIALIZED (SELECT id, 1.0 / count(*) OVER () AS r FROM nodes WHERE id % 50 = 0), s0 AS (SELECT id, r AS score FROM reset), "
+       + _rounds(34).replace(" AS (", " AS MATERIALIZED (") + ", c AS (SELECT n.id, coalesce(s.score, 0) AS s FROM nodes n LEFT JOIN s34 s ON s.id = n.id WHERE object_type = 'claim') SELECT id, round((s - (SELECT min(s) FROM c)) / ((SELECT max(s) FROM c) - (SELECT min(s) FROM c)), 5) AS score FROM c")
+def k03(spark: SparkSession, d: str) -> DataFrame:
+    """Claims are passages; every fiftieth node is a seed."""
+    nodes = shapes.nodes(spark, d)
+    edges = graph.ranking_graph(shapes.relations(spark, d).where("status <> 'rejected'"))
+    ranks = graph.push_rank(edges, nodes.where("id % 50 = 0").select("id", F.lit(1.0).alias("weight")), tolerance=1e-9)
+    return graph.passage_scores(ranks, nodes.where("object_type = 'claim'")).withColumn("score", F.round("score", 5))
+
+
 @query("k06_bounded_search", shapes.with_("relations") + ", f AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY edge_type, id) AS rn FROM relations) WHERE rn <= 3), h0 AS (SELECT 7 AS id), h1 AS (SELECT DISTINCT dst AS id FROM f JOIN h0 ON src = id WHERE dst NOT IN (SELECT id FROM h0)), h2 AS (SELECT DISTINCT dst AS id FROM f JOIN h1 ON src = id WHERE dst NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1)) SELECT CAST(id AS BIGINT) AS id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2")
 def k06(spark: SparkSession, d: str) -> DataFrame:
     start = spark.createDataFrame([(7,)], "id long")
