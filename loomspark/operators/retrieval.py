@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import tokens
 from loomspark.functions.vectors import cosine, unit
+from loomspark.session import staged
 
 #: Weights of the fused score, its floor, and results kept by object type.
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT, FLOOR = 0.4, 0.6, 0.12
@@ -29,24 +30,34 @@ def fused(keyword: Column, semantic: Column) -> Column:
 
 
 def cosine_top(rows: DataFrame, vector: str, query: list[float], k: int | None, ident: str, cut: int | None = None) -> DataFrame:
-    """ident and cosine to a query vector, best first, ties by ident; vectors of another dimension are skipped."""
+    """ident and cosine to a query vector, the k best first, ties by ident; without k all of them, in no order. Vectors of another
+    dimension are skipped."""
     q = F.array(*[F.lit(float(x)) for x in (query[:cut] if cut else query)])
     v = F.slice(vector, 1, cut) if cut else F.col(vector)
-    scored = rows.where(F.size(vector) == len(query)).select(ident, F.round(cosine(v, q), 6).alias("score")).orderBy(F.desc("score"), ident)
-    return scored.limit(k) if k else scored
+    scored = rows.where(F.size(vector) == len(query)).select(ident, F.round(cosine(v, q), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), ident).limit(k) if k else scored
+
+
+#: Distinct query terms that are sent to the texts; more meet them in a shuffle.
+MANY_TERMS = 1_000_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score of documents (doc_id, text) that hold a term of the queries (query_id, text)."""
-    terms = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    """query_id, doc_id, score of documents (doc_id, text) that hold a term of the queries (query_id, text).
+
+    Texts are cut where they are read; only occurrences of the queries' terms go on, with their text's length beside them.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = terms.join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= MANY_TERMS else terms
+    cut = docs.select("doc_id", tokens(F.col("text")).alias("__t"))
+    corpus = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("__t")).alias("avgdl"))
+    each = cut.select("doc_id", F.size("__t").alias("dl"), F.explode("__t").alias("term")).join(terms, "term", "left_semi")
+    wanted = staged(each.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = asked.join(wanted.join(df, "term").join(lengths, "doc_id"), "term").crossJoin(F.broadcast(corpus))  # one row
+    scored = asked.join(wanted.join(df, "term"), "term").crossJoin(F.broadcast(corpus))  # one row
     return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
