@@ -31,10 +31,13 @@ def contract(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, *p) for e, pairs in EDGE_PAIRS.items() for p in pairs], "edge_type string, src_type string, dst_type string")
 
 
-def with_types(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """relations (src, dst) with src_type and dst_type, null where an end is missing."""
-    n = nodes.select("id", "object_type")
-    return relations.join(n.select(F.col("id").alias("src"), F.col("object_type").alias("src_type")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("object_type").alias("dst_type")), "dst", "left")
+def with_types(relations: DataFrame, nodes: DataFrame, labels: bool = False) -> DataFrame:
+    """relations (src, dst) with src_type and dst_type, and with labels the ends' names as src_label and dst_label; null where an end
+    is missing. Each end is one join, whatever it carries."""
+    for end in ("src", "dst"):
+        n = nodes.select(F.col("id").alias(end), F.col("object_type").alias(f"{end}_type"), *[F.col("name").alias(f"{end}_label")] * labels)
+        relations = relations.join(n, end, "left")
+    return relations
 
 
 def validity(typed: DataFrame) -> DataFrame:
@@ -53,16 +56,23 @@ def canonical_ends(edge_type: Column, src: Column, dst: Column) -> tuple[Column,
 
 
 def trust(typed: DataFrame, nodes: DataFrame, cap: int = 3) -> DataFrame:
-    """id and trust of each relation: 0.4 for a quote, 0.3 for independent sources of the same named triple, 0.3 for a valid type pair."""
-    name = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), r"\s+", " "))
-    n = nodes.select("id", name(F.col("name")).alias("n"))
-    named = validity(typed).join(n.select(F.col("id").alias("src"), F.col("n").alias("src_name")), "src", "left").join(n.select(F.col("id").alias("dst"), F.col("n").alias("dst_name")), "dst", "left")
-    named = named.withColumns({"src_name": F.coalesce("src_name", F.col("src").cast("string")), "dst_name": F.coalesce("dst_name", F.col("dst").cast("string"))})
-    triple = ["src_name", "edge_type", "dst_name"]
+    """id and trust of each relation: 0.4 for a quote, 0.3 for independent sources of the same named triple, 0.3 for a valid type pair.
+
+    typed may bring its ends' names (`with_types(..., labels=True)`); else they are joined here. Sources are counted by a hash of
+    the triple and joined back by it, so that names do not travel twice.
+    """
+    if "src_label" not in typed.columns:
+        for end in ("src", "dst"):
+            typed = typed.join(nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_label")), end, "left")
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), r"\s+", " "))
+    name = lambda end: F.coalesce(plain(F.col(f"{end}_label")), F.col(end).cast("string"))
+    triple = F.unhex(F.md5(F.concat_ws("\u0001", name("src"), F.coalesce("edge_type", F.lit("")), name("dst"))))
     source = F.coalesce(F.nullif(F.col("source_id").cast("string"), F.lit("")), F.concat(F.lit("unique "), F.col("id").cast("string")))
-    backed = named.groupBy(*triple).agg(F.countDistinct(source).alias("sources"))
-    score = 0.4 * F.when(F.trim(F.coalesce("quote", F.lit(""))) != "", 1.0).otherwise(0.0) + 0.3 * F.least(F.col("sources") / cap, F.lit(1.0)) + 0.3 * F.when(F.col("valid"), 1.0).otherwise(0.0)
-    return named.join(backed, triple).select("id", "sources", F.round(score, 6).alias("trust"))
+    quoted = F.trim(F.coalesce("quote", F.lit(""))) != ""
+    marked = validity(typed).select("id", triple.alias("triple"), source.alias("source"), quoted.alias("quoted"), "valid")
+    backed = marked.groupBy("triple").agg(F.countDistinct("source").alias("sources"))
+    score = 0.4 * F.when(F.col("quoted"), 1.0).otherwise(0.0) + 0.3 * F.least(F.col("sources") / cap, F.lit(1.0)) + 0.3 * F.when(F.col("valid"), 1.0).otherwise(0.0)
+    return marked.join(backed, "triple").select("id", "sources", F.round(score, 6).alias("trust"))
 
 
 def hop_trust(confidence: Column, status: Column, tier: Column) -> Column:

@@ -231,7 +231,7 @@ _TYPED = shapes.with_("nodes", "relations") + f", typed AS (SELECT r.*, a.object
 @query("d14_edge_trust", _TYPED + ", named AS (SELECT *, coalesce(src_name, CAST(src AS VARCHAR)) AS sn, coalesce(dst_name, CAST(dst AS VARCHAR)) AS dn FROM checked), backed AS (SELECT sn, edge_type, dn, count(DISTINCT source_id) AS sources FROM named GROUP BY 1, 2, 3) SELECT id, sources, round(0.4 * CASE WHEN quote <> '' THEN 1 ELSE 0 END + 0.3 * least(sources / 3.0, 1.0) + 0.3 * CASE WHEN valid THEN 1 ELSE 0 END, 6) AS trust FROM named JOIN backed USING (sn, edge_type, dn)")
 def d14(spark: SparkSession, d: str) -> DataFrame:
     n, r = shapes.nodes(spark, d), shapes.relations(spark, d)
-    return graph.trust(graph.with_types(r, n), n)
+    return graph.trust(graph.with_types(r, n, labels=True), n)
 
 
 @query("d16_size_histogram", "WITH g AS (SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2), b AS (SELECT p_type, CASE WHEN n = 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' ELSE '21+' END AS bucket, count(*) AS clusters FROM g GROUP BY 1, 2), dim AS (SELECT DISTINCT p_type, bucket FROM part, (VALUES ('1'), ('2-5'), ('6-20'), ('21+')) v(bucket)) SELECT p_type, bucket, coalesce(clusters, 0) AS clusters FROM dim LEFT JOIN b USING (p_type, bucket)")
