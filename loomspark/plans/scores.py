@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.operators import payload, scoring
+from loomspark.operators import payload, promotion, scoring
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _LOOP, _PAIRS
 from loomspark.session import table
@@ -106,3 +106,24 @@ def s26(spark: SparkSession, d: str) -> DataFrame:
     nested = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "list": ['), F.col("user_id").cast("string"), F.lit(", "), (F.col("event_id") % 2 == 0).cast("string"), F.lit(', null, {}], "more": {"inner": '), "props", F.lit("}}"))
     found = payload.scalar_leaves(table(spark, d, "events").select("event_id", nested.alias("payload")), ["event_id"], "payload")
     return found.withColumn("at", F.concat(F.lit("["), F.array_join(F.transform("at", lambda x: x.cast("string")), ", "), F.lit("]")))
+
+
+@query("k21_promoted_evidence", f"""WITH e AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 's' || l_suppkey, 'e' || l_partkey, CASE WHEN l_quantity > 10 THEN 'said ' || l_linenumber END NULLS FIRST) - 1 AS pos, 's' || l_suppkey AS s, 'e' || l_partkey AS k, CASE WHEN l_quantity > 10 THEN 'said ' || l_linenumber END AS span, l_suppkey, l_partkey FROM lineitem),
+    t AS (SELECT *, l_suppkey % 3 = 0 AS own, l_suppkey % 3 <> 0 AND l_suppkey % 7 = 1 AS hidden, coalesce(CASE WHEN l_suppkey = (SELECT min(x.l_suppkey) FROM lineitem x WHERE x.l_partkey = e.l_partkey AND x.l_partkey % 2 = 0 AND x.l_partkey % 10 = x.l_suppkey % 10) THEN 'part ' || l_partkey END, span, '') AS text FROM e),
+    n AS (SELECT *, 'src-promo-' || md5('lib|' || s) AS source FROM t WHERE own OR (NOT hidden AND text <> ''))
+    SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, CASE WHEN own THEN s ELSE source END AS source_id, CASE WHEN own THEN k ELSE 'el-promo-' || md5(source || '|' || k || '|' || text) END AS element_id,
+           CASE WHEN own THEN span ELSE coalesce(span, substr(text, 1, 500)) END AS quoted_span, CASE WHEN own THEN NULL ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'nb' ELSE 'nb-x' END END AS origin_notebook_id FROM n""")
+def k21(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are objects with their lines as evidence; a third of the suppliers is the library's own, some are private, and parts of
+    even keys are live elements of a supplier each."""
+    line, blank = table(spark, d, "lineitem"), F.lit(None).cast("string")
+    span = F.when(F.col("l_quantity") > 10, F.concat(F.lit("said "), F.col("l_linenumber").cast("string")))
+    source = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    entry = F.struct(source("l_suppkey").alias("source_id"), F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("element_id"), span.alias("quoted_span"), *[blank.alias(c) for c in ("source_title", "element_type", "location_label", "origin_source_id", "origin_notebook_id")])
+    objects = line.groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", entry.alias("e")))), lambda x: x["e"]).alias("evidence"))
+    suppliers = table(spark, d, "supplier").select(source("s_suppkey").alias("source_id"), F.col("s_suppkey").alias("n"))
+    lines = line.select("l_partkey", "l_suppkey").where("l_partkey % 2 = 0 AND l_partkey % 10 = l_suppkey % 10")
+    live = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("l_suppkey"))
+    live = live.select(F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("element_id"), source("l_suppkey").alias("source_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
+    found, _, _ = promotion.promoted(objects, "lib", suppliers.where("n % 3 = 0").select("source_id"), suppliers.where("n % 3 <> 0 AND n % 7 = 1").select("source_id"), live, suppliers.where("n % 2 = 0").select("source_id", F.lit("nb").alias("notebook")), "nb-x")
+    return found.select("id", F.posexplode("evidence").alias("pos", "e")).select("id", "pos", "e.source_id", "e.element_id", "e.quoted_span", "e.origin_notebook_id")
