@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.operators import payload, promotion, scoring
 from loomspark.plans.registry import query
 from loomspark.plans.relations import _LOOP, _PAIRS
-from loomspark.session import table
+from loomspark.session import shared_dir, table
+from loomspark.streaming import backfill
 
 _ATOMS = """WITH RECURSIVE e AS (SELECT *, event_id // 200 AS k, 'k' || (event_id % 3) AS kind, event_id * 10 AS a FROM events),
     g AS (SELECT k, event_id AS id, kind, a, a + 400 + CAST(floor(value) AS BIGINT) AS b FROM e WHERE event_type = 'view'), p AS (SELECT k, event_id AS id, kind, a, a + 600 AS b FROM e WHERE event_type = 'click')"""
@@ -127,3 +130,20 @@ def k21(spark: SparkSession, d: str) -> DataFrame:
     live = live.select(F.concat(F.lit("e"), F.col("l_partkey").cast("string")).alias("element_id"), source("l_suppkey").alias("source_id"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"))
     found, _, _ = promotion.promoted(objects, "lib", suppliers.where("n % 3 = 0").select("source_id"), suppliers.where("n % 3 <> 0 AND n % 7 = 1").select("source_id"), live, suppliers.where("n % 2 = 0").select("source_id", F.lit("nb").alias("notebook")), "nb-x")
     return found.select("id", F.posexplode("evidence").alias("pos", "e")).select("id", "pos", "e.source_id", "e.element_id", "e.quoted_span", "e.origin_notebook_id")
+
+
+@query("x13_backfill", """WITH c AS (SELECT conv_id AS id, count(*) AS n, count(CASE WHEN length(text) < 120 THEN 1 END) AS flagged, count(CASE WHEN length(text) < 120 AND turn > 0 THEN 1 END) AS changed FROM conversations GROUP BY 1)
+    SELECT 'judged' AS outcome, count(*) AS sources, CAST(sum(flagged) AS BIGINT) AS flagged, CAST(sum(changed) AS BIGINT) AS changed, count(CASE WHEN changed > 0 THEN 1 END) AS sources_changed FROM c""")
+def x13(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations are sources, short turns are flagged; the run is stopped after two pages and taken up again."""
+    turns, store = table(spark, d, "conversations").select(F.col("conv_id").alias("id"), "turn", "text"), f"{shared_dir(spark)}/backfill/{uuid.uuid4().hex}"
+    sources = turns.select("id").distinct()
+    size = max(1, sources.count() // 4)
+
+    def judge(page: DataFrame) -> DataFrame:
+        short = F.length("text") < 120
+        return turns.join(page, "id", "left_semi").groupBy("id").agg(F.lit(backfill.JUDGED).alias("outcome"), F.count_if(short).alias("flagged"), F.count_if(short & (F.col("turn") > 0)).alias("changed"))
+
+    backfill.backfill(sources, store, judge, size, most_pages=2)
+    backfill.backfill(sources, store, judge, size)
+    return backfill.tally(spark, store)
