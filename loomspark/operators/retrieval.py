@@ -61,6 +61,42 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
+#: Candidates of a question by words and by vector, the likeness that is enough without a word, and what a memory's
+#: status weighs where scores are equal.
+LEXICAL_CANDIDATES, VECTOR_CANDIDATES, LIKE_ENOUGH = 64, 256, 0.80
+AUTHORITY = {"candidate": 1, "confirmed": 3}
+
+
+def memory_hits(memories: DataFrame, questions: DataFrame, most: int = 10) -> DataFrame:
+    """(q, rank, id, score, authority): memories (id, text, status, vector) for questions (q, text, vector), a stated query set.
+
+    Candidates are the LEXICAL_CANDIDATES memories that hold most of a question's words and the VECTOR_CANDIDATES nearest by vector
+    (all rows are looked at). A candidate stays if it shares a word or is LIKE_ENOUGH, and if its fused score reaches the floor;
+    without a vector on both sides the words decide alone. Order is by score, then authority, then id, all descending. Memories of
+    another status than AUTHORITY's take no part; a question without text or vector goes by what it has.
+    """
+    from loomspark.operators.vector_index import exact_neighbours
+
+    usable = memories.where(F.col("status").isin(*AUTHORITY))
+    rank = F.create_map(*[F.lit(x) for kv in AUTHORITY.items() for x in kv])[F.col("status")]
+    asked = questions.select("q", F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("words"))
+    terms = asked.select("q", F.size("words").alias("n"), F.explode("words").alias("term"))
+    held = usable.select("id", F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term"))
+    shared = staged(held.join(terms, "term").groupBy("q", "id").agg((F.count(F.lit(1)) / F.first("n")).alias("lexical")), "shared")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("lexical"), F.desc("id")))
+    by_words = shared.withColumn("__p", place).where(F.col("__p") <= LEXICAL_CANDIDATES).select("q", "id")
+    # Questions have numbers of their own below 0, so that none is taken for the memory of the same number.
+    posed = questions.select((-1 - F.col("q")).alias("id"), "vector")
+    near = staged(exact_neighbours(usable.select("id", "vector"), posed, VECTOR_CANDIDATES).select((-1 - F.col("id")).alias("q"), F.col("other").alias("id")), "near")
+    pairs = by_words.unionByName(near).distinct().join(shared, ["q", "id"], "left")
+    full = pairs.join(usable.select("id", rank.alias("authority"), F.col("vector").alias("__m")), "id").join(questions.select("q", F.col("vector").alias("__q")), "q")
+    alike = F.when(F.col("__m").isNotNull() & F.col("__q").isNotNull(), F.round(cosine(F.col("__m"), F.col("__q")), 9))
+    scored = full.select("q", "id", "authority", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), alike.alias("alike"))
+    scored = scored.where((F.col("lexical") > 0) | (F.coalesce("alike", F.lit(0.0)) >= LIKE_ENOUGH)).withColumn("score", F.round(fused(F.col("lexical"), F.col("alike")), 6)).where(F.col("score") >= FLOOR)
+    order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("authority"), F.desc("id")))
+    return scored.withColumn("rank", order).where(F.col("rank") <= most).select("q", "rank", "id", "score", "authority")
+
+
 def rank_fusion(rankings: DataFrame, k: int = 60) -> DataFrame:
     """doc_id and the sum of 1 / (k + rank) over lists (list_id, doc_id, score)."""
     w = Window.partitionBy("list_id").orderBy(F.desc("score"), "doc_id")

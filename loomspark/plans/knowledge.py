@@ -121,12 +121,23 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.trigram_recall(table(spark, d, "documents").select("doc_id", "text"), terms)
 
 
-@query("r13_memory_hybrid", "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, CASE WHEN label = 3 THEN 0.5 ELSE 0 END AS lex, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 6) AS cos FROM embeddings, q) SELECT vec_id, round(greatest(lex, cos), 5) AS score FROM s WHERE lex > 0 OR cos >= 0.2 ORDER BY greatest(lex, cos) DESC, vec_id DESC LIMIT 30")
+_TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))"
+
+
+@query("r13_memory_hybrid", f"""WITH m AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, {_TOKENS} AS words, CASE WHEN vec_id % 3 = 0 THEN 3 ELSE 1 END AS authority FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id % 5 <> 4),
+    q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS v, {_TOKENS} AS words FROM embeddings JOIN benchmark ON item_id = vec_id // 100 WHERE vec_id % 100 = 0),
+    l AS (SELECT q, id, authority, coalesce(len(list_intersect(q.words, m.words)), 0) / len(q.words) AS lexical, round(list_cosine_similarity(q.v, m.v), 9) AS alike FROM q, m),
+    w AS (SELECT q, id FROM l WHERE lexical > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY lexical DESC, id DESC) <= 64),
+    n AS (SELECT q, id FROM l QUALIFY row_number() OVER (PARTITION BY q ORDER BY alike DESC, id) <= 256),
+    s AS (SELECT l.*, round(0.4 * lexical + 0.6 * alike, 6) AS score FROM l JOIN (SELECT * FROM w UNION SELECT * FROM n) USING (q, id) WHERE lexical > 0 OR alike >= 0.8)
+    SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, authority DESC, id DESC) AS rank, id, score, authority FROM s WHERE score >= 0.12 QUALIFY rank <= 10""")
 def r13(spark: SparkSession, d: str) -> DataFrame:
-    sims = retrieval.cosine_top(table(spark, d, "embeddings"), "embedding", _query_vector(spark, d), None, "vec_id").withColumnRenamed("score", "cos")
-    rows = table(spark, d, "embeddings").select("vec_id", F.when(F.col("label") == 3, 0.5).otherwise(0.0).alias("lex")).join(sims, "vec_id")
-    kept = rows.where("lex > 0 OR cos >= 0.2").withColumn("s", F.greatest("lex", "cos")).orderBy(F.desc("s"), F.desc("vec_id")).limit(30)
-    return kept.select("vec_id", F.round("s", 5).alias("score"))
+    """Vectors and the documents of their number are memories; benchmark items ask, with the vector of a hundred times their number."""
+    v, text = table(spark, d, "embeddings"), table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    status = F.when(F.col("vec_id") % 5 == 4, "void").when(F.col("vec_id") % 3 == 0, "confirmed").otherwise("candidate")
+    memories = v.join(text, "vec_id", "left").select(F.col("vec_id").alias("id"), "text", status.alias("status"), F.col("embedding").alias("vector"))
+    items = table(spark, d, "benchmark").select((F.col("item_id") * 100).alias("vec_id"), "text")
+    return retrieval.memory_hits(memories, v.join(items, "vec_id").select(F.col("vec_id").alias("q"), "text", F.col("embedding").alias("vector")))
 
 
 @query("r15_participants", "SELECT s_suppkey, n_regionkey AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey IN (1, 3) ORDER BY n_regionkey, s_suppkey")
