@@ -567,14 +567,18 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, d: str, build, mode: str = "complete") -> DataFrame:
-    """Runs a stream over the events table to its end and returns the rows of its sink."""
-    source = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
-    events = table(spark, d, "events")
-    events.write.parquet(f"{source}/in")
-    name = f"s{uuid.uuid4().hex}"
-    q = build(changes.followed(spark, f"{source}/in", events.schema.simpleString()[7:-1].replace(":", " "))).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{source}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over the events table to its end and returns the last state of its result, which each batch writes whole."""
+    at, events = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}", table(spark, d, "events")
+    events.write.parquet(f"{at}/in")
+    numbers: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+        numbers.append(number)
+
+    stream = build(changes.followed(spark, f"{at}/in", events.schema.simpleString()[7:-1].replace(":", " ")))
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out/batch={max(numbers)}")
 
 
 @query("w08_stream_windows", "SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
