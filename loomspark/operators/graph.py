@@ -31,11 +31,16 @@ def contract(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(e, *p) for e, pairs in EDGE_PAIRS.items() for p in pairs], "edge_type string, src_type string, dst_type string")
 
 
+def plain_name(name: Column) -> Column:
+    """Small letters and digits of ASCII, single spaces between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9 ]+", " "), r"\s+", " "))
+
+
 def with_types(relations: DataFrame, nodes: DataFrame, labels: bool = False) -> DataFrame:
-    """relations (src, dst) with src_type and dst_type, and with labels the ends' names as src_label and dst_label; null where an end
-    is missing. Each end is one join, whatever it carries."""
+    """relations (src, dst) with src_type and dst_type, and with labels the ends' plain names as src_label and dst_label; null where
+    an end is missing. Each end is one join, whatever it carries, and names are made plain once a node."""
     for end in ("src", "dst"):
-        n = nodes.select(F.col("id").alias(end), F.col("object_type").alias(f"{end}_type"), *[F.col("name").alias(f"{end}_label")] * labels)
+        n = nodes.select(F.col("id").alias(end), F.col("object_type").alias(f"{end}_type"), *[plain_name(F.col("name")).alias(f"{end}_label")] * labels)
         relations = relations.join(n, end, "left")
     return relations
 
@@ -58,14 +63,13 @@ def canonical_ends(edge_type: Column, src: Column, dst: Column) -> tuple[Column,
 def trust(typed: DataFrame, nodes: DataFrame, cap: int = 3) -> DataFrame:
     """id and trust of each relation: 0.4 for a quote, 0.3 for independent sources of the same named triple, 0.3 for a valid type pair.
 
-    typed may bring its ends' names (`with_types(..., labels=True)`); else they are joined here. Sources are counted by a hash of
+    typed may bring its ends' plain names (`with_types(..., labels=True)`); else they are joined here. Sources are counted by a hash of
     the triple and joined back by it, so that names do not travel twice.
     """
     if "src_label" not in typed.columns:
         for end in ("src", "dst"):
-            typed = typed.join(nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_label")), end, "left")
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "), r"\s+", " "))
-    name = lambda end: F.coalesce(plain(F.col(f"{end}_label")), F.col(end).cast("string"))
+            typed = typed.join(nodes.select(F.col("id").alias(end), plain_name(F.col("name")).alias(f"{end}_label")), end, "left")
+    name = lambda end: F.coalesce(f"{end}_label", F.col(end).cast("string"))
     triple = F.unhex(F.md5(F.concat_ws("\u0001", name("src"), F.coalesce("edge_type", F.lit("")), name("dst"))))
     source = F.coalesce(F.nullif(F.col("source_id").cast("string"), F.lit("")), F.concat(F.lit("unique "), F.col("id").cast("string")))
     quoted = F.trim(F.coalesce("quote", F.lit(""))) != ""
