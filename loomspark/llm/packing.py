@@ -23,11 +23,14 @@ only cut at multiples of the capacity; only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,24 +38,46 @@ from pyspark.sql import functions as F
 from loomspark.llm.common import discard, drop_shuffles, staged
 
 CAPACITY, END_ID = 4096, 1
-#: Distinct words whose ids a worker remembers at once.
-REMEMBER = 600_000
+#: Distinct words whose ids a worker remembers at once, and bytes of text that it looks up at once.
+REMEMBER, AT_ONCE = 1_000_000, 4 << 20
+#: Gaps and pieces that a task sweeps at least, where there are so many.
+SWEPT_ROWS = 5000
 #: Pieces of class k surely fit k times into an empty sequence.
 SHARES = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256, 4096)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Punctuation that closes a word; apostrophes begin contractions, and <|> may belong to a special token.
-_ENDS = b".,;:!?%&$#*+-/=@^_~()[]{}\"\\`"
+#: Punctuation that ends a run of letters; apostrophes begin contractions, and <|> may belong to a special token.
+_ENDS = b".,;:!?%&$#*+-/=@^_()[]\"\\`"
 _APART = b"\x01"
+#: Words of Latin letters up to U+024F, without U+0130, whose small letter is two characters.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
+#: Texts whose capitals are left as they are: special tokens and combining marks may be in them.
+_AS_IT_IS = r"<\||[\x{300}-\x{37f}]"
+
+#: White space is 1, punctuation that ends letters 2; all of it comes before the small letters.
+_KINDS = np.array([1 if x in b" \t\n\v\f\r" else 2 if x in _ENDS else 0 for x in range(97)], np.uint8)
+_LETTER = np.array([bytes([x]).isalpha() for x in range(256)])
+#: Second bytes of letters by first byte, for those that _PLAIN knows.
+_LETTER_2 = np.array([[bool(_PLAIN.fullmatch(bytes((a, b)))) and a > 127 for b in range(256)] for a in range(256)])
+
+
+#: The character that stands for each byte in a byte-level vocabulary, as UTF-16; a space stays one.
+_SHOWN = np.arange(256, dtype="<u2")
+_SHOWN[[*range(33), *range(127, 161), 173]] = range(256, 324)
+_SHOWN[32] = 32
 
 
 class WordIds:
-    """Ids of a text, word by word: this tokenizer drops white space, so no token and no normalisation crosses it.
+    """Ids of texts, word by word: this tokenizer drops white space, so no token and no normalisation crosses it.
 
-    Words that are not known yet are encoded together, in one text, with a character between them that is a token of its own.
-    Punctuation after a letter is a token of its own, so a word's end is looked up by itself where normalisation leaves the
-    letter one letter (a-z and Latin letters up to U+024F, U+0130 excepted). ASCII capitals are folded before the look-up where
-    that cannot matter: not beside combining marks, and not where a special token's text might come about.
+    Punctuation after a letter begins a token, so words are cut there too where normalisation leaves the letter one letter (a-z
+    and Latin letters up to U+024F, U+0130 excepted). ASCII capitals are folded before where that cannot matter: not beside
+    combining marks, and not where a special token's text might come about. A batch's words are told apart as Arrow dictionary
+    entries, each distinct one is looked up once, and ids are laid out by number.
+
+    Words that are not known yet are encoded together, in one text. For those of Latin letters alone normalisation is their small
+    letters and each is one pre-token, so the library encodes them with white space as the only rule, and a token that closes a
+    word ends each. Others go through the whole of the tokenizer, with a character between them that is a token of its own.
     """
 
     def __init__(self, path: str):
@@ -60,62 +85,93 @@ class WordIds:
 
         self.encode, self.known = Tokenizer.from_file(path).encode, {}
         (self.apart,) = self.encode(_APART.decode(), add_special_tokens=False).ids
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        rules |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.plain = Tokenizer.from_str(json.dumps(rules))
+        vocab, suffix = rules["model"]["vocab"], rules["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)
+        self.closes[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
 
     def _ids(self, text: bytes) -> np.ndarray:
         return np.array(self.encode(text.decode(), add_special_tokens=False).ids, "<u4")
 
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray, gap: int) -> None:
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        for w, a, b in zip(words, [0, *(c + 4 * gap for c in cuts)], [*cuts, len(raw)], strict=False):
+            self.known[w] = raw[a:b]
+
     def _learn(self, words: list[bytes]) -> None:
-        odd = [w for w in words if _APART in w or b"<|" in w]
-        if odd:
-            self.known.update((w, self._ids(w).tobytes()) for w in odd)
-            words = sorted(set(words).difference(odd))
-        for k in range(0, len(words), 512):
-            some = words[k : k + 512]
+        plain, others = [], []
+        for w in words:
+            if w.isalpha() or _PLAIN.fullmatch(w):
+                plain.append(w)
+            elif _APART in w or b"<|" in w:
+                self.known[w] = self._ids(w).tobytes()
+            else:
+                others.append(w)
+        for k in range(0, len(plain), 512):
+            some = plain[k : k + 512]
+            small = np.frombuffer(b" ".join(some).decode().lower().encode(), np.uint8)
+            (found,) = self.plain.encode_batch_fast([_SHOWN[small].tobytes().decode("utf-16-le")], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("words and closing tokens differ in number")
+            self._keep(some, ids, ends, 0)
+        for k in range(0, len(others), 512):
+            some = others[k : k + 512]
             ids = self._ids((b" " + _APART + b" ").join(some))
-            cuts = (4 * np.flatnonzero(ids == self.apart)).tolist()
-            raw = ids.tobytes()
-            for w, a, b in zip(some, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
-                self.known[w] = raw[a:b]
+            ends = np.flatnonzero(ids == self.apart)
+            if len(ends) != len(some) - 1:
+                raise ValueError("words and tokens between them differ in number")
+            self._keep(some, ids, ends, 1)
 
     @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        body = word.rstrip(_ENDS)
-        if body and len(body) < len(word):
-            if 97 <= body[-1] <= 122 or 65 <= body[-1] <= 90:
-                return body, word[len(body) :]
-            if len(body) > 1 and 0xC3 <= body[-2] <= 0xC9:
-                c = body[-2:].decode()
-                if c.isalpha() and c != "\u0130":
-                    return body, word[len(body) :]
-        return (word,)
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text; what is new in all of them is learned at once."""
-        listed = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "replace")
-            if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
-                raw = raw.lower()
-            listed.append(raw.split())
-        known = self.known
+    def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and the number of the first word of each text, with the number of all at the end."""
+        small = pc.ascii_lower(texts)
+        at = np.frombuffer(small.buffers()[1], np.int32)[small.offset : small.offset + len(small) + 1]
+        data, at = np.frombuffer(small.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+        as_it_is = np.flatnonzero(pc.match_substring_regex(texts, _AS_IT_IS).to_numpy(zero_copy_only=False)).tolist()
+        if as_it_is:
+            data = data.copy()
+            for k in as_it_is:
+                data[at[k] : at[k + 1]] = np.frombuffer(texts[k].as_buffer(), np.uint8)
+        apart = np.flatnonzero(data < 97)
+        kinds = _KINDS[data[apart]]
+        blank, ends = apart[kinds == 1], apart[(kinds == 2) & (apart > 0)]
+        first = np.zeros(len(data) + 1, bool)
+        first[blank + 1] = True
+        first[at] = True
+        before = data[ends - 1]
+        first[ends[_LETTER[before] | _LETTER_2[data[ends - 2], before]]] = True
+        solid = np.ones(len(data), bool)
+        solid[blank] = False
+        offsets, kept = np.flatnonzero(first[:-1][solid]), data[solid]
+        words = pa.Array.from_buffers(pa.binary(), len(offsets), [None, pa.py_buffer(np.append(offsets, len(kept)).astype(np.int32)), pa.py_buffer(kept)])
+        return words, np.searchsorted(offsets, at - np.searchsorted(blank, at))
+
+    def packed(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text of a column of strings without nulls; what is new in all of them is learned at once."""
+        words, firsts = self._words(texts)
+        coded = words.dictionary_encode()
+        listed, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
         if len(known) > REMEMBER:
             known.clear()
-        fresh = set().union(*listed).difference(known)
-        if fresh:
-            whole, split = set(), []
-            for w in fresh:
-                parts = self._parts(w)
-                if len(parts) > 1:
-                    split.append((w, parts))
-                whole.update(parts)
-            self._learn(sorted(whole.difference(known)))
-            for w, (a, b) in split:
-                known[w] = known[a] + known[b]
-        out = [b"".join([known[w] for w in words]) for words in listed]
-        for w in fresh:
-            if len(w) > 64:
-                del known[w]
-        return out
+        found = [known.get(w) for w in listed]
+        fresh = [k for k, ids in enumerate(found) if ids is None]
+        self._learn([listed[k] for k in fresh])
+        for k in fresh:
+            found[k] = known[listed[k]] if len(listed[k]) <= 64 else known.pop(listed[k])
+        out = pa.array(found, pa.large_binary()).take(coded.indices)
+        ids = memoryview(out.buffers()[2] or b"")
+        at = np.frombuffer(out.buffers()[1], np.int64)[out.offset :][firsts].tolist() if len(out) else [0] * len(firsts)
+        return (bytes(ids[a:b]) for a, b in zip(at, at[1:], strict=False))
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text."""
+        return list(self.packed(pa.array([(t or "").encode("utf-8", "replace") for t in texts], pa.binary()).cast(pa.string()))) if texts else []
 
     def __call__(self, text: str | None) -> bytes:
         return self.many([text])[0]
@@ -132,18 +188,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             _WORD_IDS[tokenizer] = WordIds(tokenizer)
         ids_of, end = _WORD_IDS[tokenizer], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for first in range(0, batch.num_rows, 100):
-                some = batch.slice(first, 100)
-                for doc_id, found in zip(some.column(0).to_pylist(), ids_of.many(some.column(1).to_pylist()), strict=True):
+            if not batch.num_rows:
+                continue
+            rows, texts = [], batch.column(1).cast(pa.string()).fill_null("")
+            # Some megabytes of text at a time, or one longer text.
+            upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(upto // AT_ONCE)) + 1).tolist(), batch.num_rows]
+            for first, end_row in zip(cuts, cuts[1:], strict=False):
+                some = batch.column(0).slice(first, end_row - first)
+                for doc_id, found in zip(some.to_pylist(), ids_of.packed(texts.slice(first, end_row - first)), strict=True):
                     ids = found + end
                     for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), *[part] * keep_ids))
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
@@ -286,12 +346,12 @@ def best_fit_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     shares = [k for k in SHARES if k <= capacity]
     bounds = [(k, capacity // m if m else 0) for k, m in zip(shares, [*shares[1:], None], strict=True)]
     held = F.array(*[F.lit(least) for _, least in bounds])
-    counts = pieces.groupBy(F.size(F.filter(held, lambda x: x >= F.col("length"))).alias("nth")).count().collect()
+    counts = dict(pieces.groupBy(F.size(F.filter(held, lambda x: x >= F.col("length"))).alias("nth")).count().collect())
     used, opened, placed = None, 0, []
-    for nth in sorted(r["nth"] for r in counts):
-        share, least = bounds[nth]
+    for nth in sorted(counts):
+        (share, least), tasks = bounds[nth], min(parts, -(-(counts[nth] + opened) // SWEPT_ROWS))
         waiting = pieces.where((F.col("length") > least) & (F.col("length") <= capacity // share))
-        done, opened = _superstep(waiting, used, capacity, share, least, opened, parts)
+        done, opened = _superstep(waiting, used, capacity, share, least, opened, tasks)
         placed.append(done)
         if nth < len(bounds) - 1:
             more = done.select("seq", F.col("length").cast("long").alias("used"))

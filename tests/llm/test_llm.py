@@ -294,6 +294,53 @@ def test_packing_supersteps(spark, capacity, sizes):
     assert len(by_sequence) <= 1.02 * best_fit_by_force(n.tolist(), capacity) + 2
 
 
+def test_words_of_letters_skip_normalisation(monkeypatch):
+    """Words of Latin letters, most of a text, are encoded without the costly rules, and give the library's ids."""
+    from tokenizers import Tokenizer
+
+    t, ours = Tokenizer.from_file(WORDS), packing.WordIds(WORDS)
+    texts = ["Straße Ärger ÉTÉ été\tnaïve  Ǆ \n", "", " ", "THE cat sat on thononthing", "été Straße ƻ ǀ Ⱥ"]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    monkeypatch.setattr(ours, "encode", None)
+    assert ours.many(texts) == want
+    assert ours.many(texts[::-1]) == want[::-1]
+
+
+def test_pieces_of_batches_beyond_the_slice(spark):
+    """Batches of more text than is looked up at once, and single texts of more."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    kinds = [None, "Straße, it's <|endoftext|> K9 été. " * 1500, "one two. " * 500_000, "x"]
+    want = {}
+    for k, text in enumerate(kinds):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want[k] = [(n, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for n, a in enumerate(range(0, len(ids), 4096))]
+    rows = [(k, kinds[2 if k in (0, 50) else (1, 0, 3)[k % 3]]) for k in range(150)]
+    got = defaultdict(list)
+    for r in packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), WORDS).collect():
+        got[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    assert {k: sorted(v) for k, v in got.items()} == {k: want[kinds.index(x)] for k, x in rows}
+
+
+@pytest.mark.parametrize("least", [30, 5000])
+def test_sweeps_take_tasks_by_rows(spark, monkeypatch, least):
+    """Few rows are swept by few tasks; where there are more tasks, what is left over still meets across ranges."""
+    parts, real = [], packing._superstep
+    monkeypatch.setattr(packing, "SWEPT_ROWS", least)
+    monkeypatch.setattr(packing, "_superstep", lambda *a: parts.append(a[-1]) or real(*a))
+    n = np.random.default_rng(9).integers(1, 61, 600)
+    pieces = spark.createDataFrame([(k, 0, int(x)) for k, x in enumerate(n)], "doc_id long, piece int, length long")
+    rows = packing.best_fit_pack(staged(pieces, "pieces"), 60).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(n.tolist()))
+    by_sequence = defaultdict(int)
+    for r in rows:
+        by_sequence[r.sequence_id] += r.length
+    assert max(by_sequence.values()) <= 60
+    assert len(by_sequence) <= 1.02 * best_fit_by_force(n.tolist(), 60) + 2
+    assert set(parts) == {1} if least > 600 else max(parts) > 1
+
+
 @given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=8))
 @settings(max_examples=200, deadline=None)
 def test_left_over_slots_go_to_the_nearest(tallies):
