@@ -68,6 +68,40 @@ def test_empty(spark):
     assert none.columns == ["lang", "source", "part", "item", "value", "rank"] and none.count() == 0
 
 
+def plan_nodes(node):
+    """The physical plan as it ran, with what lies inside adaptive stages."""
+    yield node
+    if node.nodeName() == "AdaptiveSparkPlan":
+        below = [node.executedPlan()]
+    elif node.nodeName().endswith("QueryStage"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    for child in below:
+        yield from plan_nodes(child)
+
+
+def test_two_sources_meet_once_a_term(spark):
+    sources, terms = 12, 20
+    rows = [(" ".join(f"w{chr(97 + t)}" for t in range(terms)), "en", f"s{k:02}") for k in range(sources)]
+    out = source_divergence(spark.createDataFrame(rows, "text string, lang string, source string"))
+    assert out.where("part = 'pair'").count() == sources * (sources - 1)
+    got = out._jdf.queryExecution()
+    out._jdf.collectToPython()
+    nodes = list(plan_nodes(got.executedPlan()))
+    joined = [n.metrics().apply("numOutputRows").value() for n in nodes if n.nodeName().endswith("Join")]
+    assert max(joined) == terms * sources * (sources - 1) // 2
+
+
+def test_texts_are_split_between_terms(spark):
+    texts = ["", "a", " a", "a ", "42", "\x00A\x7fb", "Éa-ÉA", "𝒳😀\t漢", "ǅ İ K Σ", "a" * 50 + "!" * 50 + "B"]
+    counted = divergence.term_counts(frame(spark, [(t, "en", t) for t in texts]))
+    # Extracting every match takes several times the CPU seconds of splitting.
+    assert "regexp_extract_all" not in counted._jdf.queryExecution().toString()
+    want = {(t, w): n for t in texts for w, n in Counter(WORD.findall(t.translate(FOLD))).items()}
+    assert {(r.source, r.term): r.n for r in counted.collect()} == want
+
+
 @given(st.lists(st.tuples(st.integers(0, 9 * 10**15 - 1), st.integers(1, 9 * 10**15 - 1)), min_size=1, max_size=20))
 @settings(max_examples=8, deadline=None)
 def test_shares_are_exact(spark, pairs):
