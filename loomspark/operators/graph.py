@@ -117,7 +117,8 @@ def ranking_graph(relations: DataFrame) -> DataFrame:
     """(u, v, weight) both ways, one weight for each unordered pair: that of its first relation. Loops go."""
     ends = relations.where("src <> dst").select("id", "weight", F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi"))
     one = ends.groupBy("lo", "hi").agg(F.min_by("weight", "id").alias("weight"))
-    return one.select(F.col("lo").alias("u"), F.col("hi").alias("v"), "weight").unionByName(one.select(F.col("hi").alias("u"), F.col("lo").alias("v"), "weight"))
+    both = F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v"))))  # a union would shuffle relations twice
+    return one.select(both.alias("e"), "weight").select("e.u", "e.v", "weight")
 
 
 def personalized_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.5, rounds: int = 10) -> DataFrame:

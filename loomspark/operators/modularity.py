@@ -125,13 +125,16 @@ def community_peers(nodes: DataFrame, membership: DataFrame, edges: DataFrame, f
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     weight = edges.groupBy(F.col("u").alias("id")).agg(F.sum("weight").alias("centrality"))
-    known = nodes.join(weight, "id", "left").select("id", "name", F.coalesce("centrality", F.lit(0.0)).alias("centrality"))
-    asked = focals.select("q", norm(F.col("name")).alias("key"), words(F.col("query")).alias("asked")).where("key <> ''")
-    resolved = asked.join(known.select("id", "centrality", norm(F.col("name")).alias("key")), "key")
-    focal = resolved.groupBy("q").agg(F.min_by(F.struct("id", "asked"), F.struct((-F.col("centrality")).alias("c"), "id")).alias("f")).select("q", F.col("f.id").alias("focal"), "f.asked")
-    placed = focal.join(membership.select(F.col("id").alias("focal"), "community"), "focal")
+    known = staged(nodes.join(weight, "id", "left").select("id", "name", F.coalesce("centrality", F.lit(0.0)).alias("centrality")), "known")
+    asked = focals.select("q", norm(F.col("name")).alias("key"), F.array_sort(words(F.col("query"))).alias("asked")).where("key <> ''")
+    # Names are told apart before questions meet them, and questions with the same focal and words are answered once.
+    first = F.struct((-F.col("centrality")).alias("c"), "id")
+    named = known.select(first.alias("first"), norm(F.col("name")).alias("key")).groupBy("key").agg(F.min("first").alias("first"))
+    focal = asked.join(named, "key").groupBy("q").agg(F.min_by(F.struct("first.id", "asked"), "first").alias("f")).select("q", F.col("f.id").alias("focal"), "f.asked")
+    placed = focal.select("focal", "asked").distinct().join(membership.select(F.col("id").alias("focal"), "community"), "focal")
     peers = placed.join(membership.select("id", "community"), "community").where("id <> focal").join(known, "id")
     part = F.size(F.array_intersect("asked", words(F.col("name")))) / F.greatest(F.size("asked"), F.lit(1))
-    scored = peers.select("q", "id", "name", "centrality", (F.coalesce(F.length("name"), F.lit(0)) > longest).alias("__long"), F.round(part * F.col("centrality"), 6).alias("score"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("__long", F.desc("score"), F.desc("centrality"), "id"))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k).select("q", "rank", "id", "name", "score")
+    scored = peers.select("focal", "asked", "id", "name", "centrality", (F.coalesce(F.length("name"), F.lit(0)) > longest).alias("__long"), F.round(part * F.col("centrality"), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("focal", "asked").orderBy("__long", F.desc("score"), F.desc("centrality"), "id"))
+    answers = scored.withColumn("rank", place).where(F.col("rank") <= k)
+    return focal.join(answers, ["focal", "asked"]).select("q", "rank", "id", "name", "score")
